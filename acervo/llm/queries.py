@@ -8,17 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from acervo.plans.tables import table
 
-from . import bpe
+from . import bpe, lookalike
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.found(spark, table(spark, sf_dir, "documentos"))
+
+
+def p1_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.consistent(spark, table(spark, sf_dir, "documentos"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(spark, table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_consistent": p1_consistent,
         "p7_ids": p7_ids,
     }
 
