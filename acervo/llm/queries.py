@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from acervo.plans.tables import table
 
-from . import bpe, lookalike
+from . import bpe, lookalike, mojibake
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,14 @@ def p1_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent(spark, table(spark, sf_dir, "documentos"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.found(spark, table(spark, sf_dir, "documentos"))
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restored(spark, table(spark, sf_dir, "documentos"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(spark, table(spark, sf_dir, "documents"))
 
@@ -29,6 +37,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_consistent": p1_consistent,
+        "p2_found": p2_found,
+        "p2_restored": p2_restored,
         "p7_ids": p7_ids,
     }
 
