@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from acervo.plans.tables import table
 
-from . import bpe, lookalike, mojibake
+from . import bpe, lookalike, mojibake, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,14 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restored(spark, table(spark, sf_dir, "documentos"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.found(spark, table(spark, sf_dir, "documentos"))
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(spark, table(spark, sf_dir, "documentos"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(spark, table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,8 @@ def queries() -> dict[str, Query]:
         "p1_consistent": p1_consistent,
         "p2_found": p2_found,
         "p2_restored": p2_restored,
+        "p5_found": p5_found,
+        "p5_repaired": p5_repaired,
         "p7_ids": p7_ids,
     }
 
