@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from acervo.plans.tables import table
 
-from . import bpe, lookalike, mojibake, scans
+from . import bpe, lookalike, mojibake, neardup, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,14 @@ def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repaired(spark, table(spark, sf_dir, "documentos"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.found(spark, table(spark, sf_dir, "documentos"))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(spark, table(spark, sf_dir, "documentos"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(spark, table(spark, sf_dir, "documents"))
 
@@ -49,6 +57,8 @@ def queries() -> dict[str, Query]:
         "p2_restored": p2_restored,
         "p5_found": p5_found,
         "p5_repaired": p5_repaired,
+        "p6_found": p6_found,
+        "p6_groups": p6_groups,
         "p7_ids": p7_ids,
     }
 
