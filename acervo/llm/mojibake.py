@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,35 +43,32 @@ CHAINS = (
 # Frequent small words that tell the languages apart.
 COMMON = {"pt": "de do da em no na para com um uma por ao sem sob", "es": "de del el la los las en y con una por al", "en": "the of and to in for with on by at from is"}
 
-TAIL = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ" + "".join(map(chr, (0x80, 0xBF))).replace(chr(0xBF), "-" + chr(0xBF))
-SIGNS = "|".join((
-    f"[{chr(0xFFFD)}{chr(0x80)}-{chr(0x9F)}]",
-    f"[Â-ô][{TAIL}]",
-    "[─-▟√∫≠≥≤∂∑∏∆≈◊ıˆ˜¯˘˙˚¸˝˛ˇ⌐⌠⌡∙ⁿƒ†‡]",
-    r"(?<![\p{L}\p{N}])[¬Ô√][\p{L}¢£§•¶ß®©™´¨]",
-    r"\p{Ll}[À-ÖØ-Þ]|\p{L}[¾¶·§þß¢£¤¥¡‚„…“”µ±«»¦¨©®°¬´¨]\p{L}",
-    r"[þß¾¶¢£¡‚„µ]\p{Ll}|\p{Ll}[þ¾¶¢¡‚£µ]|[ËÈÌÒÙÄÅÆäåæ]",
-    rf"\p{{L}}{chr(0xA0)}\p{{L}}|[A-Z][µàâãéäåÖ¢£]",
-))
+PLAIN, CAPITALS = "áàâãéêíóôõúüçñ", "ÁÀÂÃÉÊÍÓÔÕÚÜÇÑ"
+#: What every garbled field holds: a character that plain text lacks, small letters right before accented capitals or the
+#: reverse, what a byte of UTF-8 becomes after its lead, signs inside words.
+SIGNS = (
+    f"[^\\x00-\\x7f{PLAIN}{CAPITALS}ªº³½§©«»“”…™¬]|[a-z][{CAPITALS}§¬]|[A-Z][{PLAIN}]"
+    "|[ÃÂ][ªº§©«»½³“”…™¬]|[A-Za-z][“”…«»³½©][a-z]|[0-9]¬"
+)
 
 #: What no clean text has: only such values are kept from the sample that the dictionaries learn.
 PLAIN_SIGNS = "|".join((
     f"[{chr(0xFFFD)}{chr(0x80)}-{chr(0x9F)}]",
     f"[ÂÃÎÏÐÑÅ][{chr(0x80)}-{chr(0xBF)}€‚ƒ„…†‡ˆ‰Š‹ŒŽ’•˜™š›œžŸ]|â[€„‚]",
-    r"[─-▟√∫≠≥≤∂∑∏∆◊ıˆ˜¯˘˙˚¸˝˛ˇ⌐⌠⌡∙ⁿƒ†‡]|[¬Ô][\p{L}¢£§•¶ß®©™´¨]",
+    r"[─-▟√∫≠≥≤∂∑∏∆◊ıˆ˜¯˘˙˚¸˝˛ˇ⌐⌠⌡∙ⁿƒ†‡]|[¬Ô][Ç¢£§•¶ß®©™´¨]",
     r"[þ¾¶¢£¤¥‚„±¦¨¬§]\p{L}|\p{L}[þ¾¶¢£¤¥¡‚„±¦¨¬§·]|\p{Ll}[À-Þ]",
 ))
 
-#: A cheap test that every sign passes: a character beyond plain text in lower case, or a small one after a capital.
-QUICK = "[^\\x00-\\x7fáàâãéêíóôõúüçñºª³½]|[A-Z][àâãé]"
-
 #: Marks of a word broken at a line's end: no page turns them into a letter.
 BREAKS = ("¬", chr(0xAD))
 
+_PLAIN_SIGNS = regex.compile(PLAIN_SIGNS)
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _CASE = re.compile("[a-zß-öø-ÿ][A-ZÀ-ÖØ-Þ]|[A-ZÀ-ÖØ-Þ]{2}[a-zß-öø-ÿ]")
 _INSIDE = re.compile(r"[^\W\d_][¡-©«¬®-´¶-¹»-¿×÷‚„†‡•…‰‹›€™ˆ˜“”][^\W\d_]")
-_WORD = re.compile(r"[^ \t\n\r\f\v]*[^\x00-\x7f \t\n\r\f\v][^ \t\n\r\f\v]*")
+_GAP = " \\t\\n\\r\\f\\v"
+#: A word that is not plain: an accent in lower case is, unless it follows a capital.
+_WORD = re.compile(f"[^{_GAP}]*?(?:[^\\x00-\\x7f{PLAIN}]|[A-Z][{PLAIN}])[^{_GAP}]*")
 _NEXT = re.compile(r"[ \t\n\r\f\v]+[^ \t\n\r\f\v]*")
 _LAST = re.compile(r"[^ \t\n\r\f\v]*[ \t\n\r\f\v]+$")
 
@@ -137,8 +135,8 @@ class Restorer:
         if not self.packers:
             for raw in self.raw:
                 d = zstandard.ZstdCompressionDict(raw)
-                d.precompute_compress(level=6)
-                self.packers.append(zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_dict_id=False))
+                d.precompute_compress(level=3)
+                self.packers.append(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False))
         if (n := self.sizes.get(text)) is None:
             if len(self.sizes) > 200_000:
                 self.sizes.clear()
@@ -154,22 +152,21 @@ class Restorer:
         """The best single link and what it makes of ``text``; None if no link shortens the description."""
         spots = []
         for m in _WORD.finditer(text):
-            before = _LAST.search(text, max(0, m.start() - 40), m.start())
-            after = _NEXT.match(text, m.end(), m.end() + 40)
+            before = _LAST.search(text, max(0, m.start() - 20), m.start())
+            after = _NEXT.match(text, m.end(), m.end() + 20)
             spots.append((m.start(), m.end(), m[0], before[0] if before else "", after[0] if after else ""))
         best: tuple | None = None
         for wrong, right in CHAINS:
             gain, swaps, sure = -(COST_UTF8 if right == "utf-8" else COST_PAGE), [], right == "utf-8"
             for a, b, word, left, tail in spots:
-                if (new := redecode(word, wrong, right)) == word:
+                if (new := redecode(word, wrong, right)) == word or (better := self.irregular(word) - self.irregular(new)) < 0:
+                    continue
+                if right != "utf-8" and (word.endswith(BREAKS) or word.count(chr(0xA0)) > 1):
                     continue
                 less = self.length(left + word + tail) - self.length(left + new + tail)
-                better = self.irregular(word) - self.irregular(new)
-                if right == "utf-8":
-                    fits = better >= 0
-                else:  # a page turns letters into letters: it has to be told by a sign that it takes away
-                    fits = better >= 0 and less >= 0 and not word.endswith(BREAKS) and word.count(chr(0xA0)) < 2
-                    sure |= fits and better > 0 and (less - better >= 2 or better > 3)
+                fits = right == "utf-8" or less >= 0
+                # a page turns letters into letters: it has to be told by a sign that it takes away
+                sure |= fits and better > 0 and (less - better >= 2 or better > 3) and sum(c.isalpha() for c in new) > 2
                 if fits:
                     gain += less
                     swaps.append((a, b, new))
@@ -193,10 +190,11 @@ class Restorer:
 
 
 def fit(df: DataFrame, columns: list[str]) -> Restorer:
-    """Dictionaries from at most ``SAMPLE`` clean values, the first in the order of a hash over all rows."""
-    values = df.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("v")).where(F.col("v").isNotNull() & ~F.col("v").rlike(PLAIN_SIGNS))
-    first = values.orderBy(F.xxhash64("v"), "v").limit(SAMPLE)
-    return Restorer([r.v for r in first.collect()])
+    """Dictionaries from about ``SAMPLE`` values, those whose row's hash is least, without the ones that look garbled."""
+    values = df.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("v"), F.xxhash64(*columns).alias("h"))
+    share = min(1.0, SAMPLE / max(1, df.count() * len(columns)))
+    rows = values.where((F.col("h") <= int((2 * share - 1) * (2**63 - 1))) & F.col("v").isNotNull()).limit(2 * SAMPLE).collect()
+    return Restorer([r.v for r in rows if not _PLAIN_SIGNS.search(r.v)])
 
 
 def restored(spark: SparkSession, df: DataFrame, key: str = "id", columns: tuple[str, ...] = ("texto", "arquivo")) -> DataFrame:
@@ -206,7 +204,7 @@ def restored(spark: SparkSession, df: DataFrame, key: str = "id", columns: tuple
     """
     shared = spark.sparkContext.broadcast(fit(df, [*columns]))
     each = df.select(F.col(key).alias("id"), F.explode(F.array(*[F.struct(F.lit(c).alias("campo"), F.col(c).alias("valor")) for c in columns])).alias("x"))
-    signs = each.select("id", "x.campo", "x.valor").where(F.col("valor").rlike(QUICK) & F.col("valor").rlike(SIGNS))
+    signs = each.select("id", "x.campo", "x.valor").where(F.col("valor").rlike(SIGNS))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
