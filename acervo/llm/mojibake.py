@@ -166,7 +166,7 @@ class Restorer:
                 less = self.length(left + word + tail) - self.length(left + new + tail)
                 fits = right == "utf-8" or less >= 0
                 # a page turns letters into letters: it has to be told by a sign that it takes away
-                sure |= fits and better > 0 and (less - better >= 2 or better > 3) and sum(c.isalpha() for c in new) > 2
+                sure |= fits and better > 0 and (less - better >= 2 or better >= NOVEL) and sum(c.isalpha() for c in new) > 2
                 if fits:
                     gain += less
                     swaps.append((a, b, new))

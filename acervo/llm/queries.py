@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from acervo.plans.tables import table
 
-from . import bpe, lookalike, mojibake, neardup, scans
+from . import batches, bpe, leaks, lookalike, mojibake, neardup, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,11 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restored(spark, table(spark, sf_dir, "documentos"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inbox = table(spark, sf_dir, "entrada")
+    return batches.found(spark, table(spark, sf_dir, "documentos"), inbox, table(spark, sf_dir, "lotes"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.found(spark, table(spark, sf_dir, "documentos"))
 
@@ -49,17 +54,23 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(spark, table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "itens_avaliacao"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_consistent": p1_consistent,
         "p2_found": p2_found,
         "p2_restored": p2_restored,
+        "p4_found": p4_found,
         "p5_found": p5_found,
         "p5_repaired": p5_repaired,
         "p6_found": p6_found,
         "p6_groups": p6_groups,
         "p7_ids": p7_ids,
+        "p8_found": p8_found,
     }
 
 
