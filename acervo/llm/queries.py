@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from acervo.plans.tables import table
 
-from . import batches, bpe, leaks, lookalike, mojibake, neardup, scans
+from . import areas, batches, bpe, leaks, lookalike, mojibake, neardup, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "itens_avaliacao"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names, labels = table(spark, sf_dir, "areas"), table(spark, sf_dir, "rotulos_area")
+    return areas.classify(spark, table(spark, sf_dir, "documents"), labels, names)
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -71,6 +76,7 @@ def queries() -> dict[str, Query]:
         "p6_groups": p6_groups,
         "p7_ids": p7_ids,
         "p8_found": p8_found,
+        "p9_found": p9_found,
     }
 
 
