@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from acervo.plans.tables import table
 
-from . import areas, batches, bpe, leaks, lookalike, mojibake, neardup, scans
+from . import areas, batches, bpe, leaks, lookalike, mojibake, neardup, personal, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,14 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restored(spark, table(spark, sf_dir, "documentos"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found(spark, table(spark, sf_dir, "documentos"))
+
+
+def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.masked(spark, table(spark, sf_dir, "documentos"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     inbox = table(spark, sf_dir, "entrada")
     return batches.found(spark, table(spark, sf_dir, "documentos"), inbox, table(spark, sf_dir, "lotes"))
@@ -69,6 +77,8 @@ def queries() -> dict[str, Query]:
         "p1_consistent": p1_consistent,
         "p2_found": p2_found,
         "p2_restored": p2_restored,
+        "p3_found": p3_found,
+        "p3_masked": p3_masked,
         "p4_found": p4_found,
         "p5_found": p5_found,
         "p5_repaired": p5_repaired,
