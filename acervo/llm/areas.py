@@ -30,6 +30,15 @@ from pyspark.sql import functions as F
 
 LABELLED, LEAST, ROUNDS, BEAM = 8_000, 3, 5, 6
 STRUCTURE = 4
+#: Occurrences that a word is taken to have besides, spread as the areas of its language are.
+SHRINK = 4
+
+# Frequent small words that tell the languages apart (Portuguese, Spanish, English).
+COMMON = (
+    frozenset("o os do da dos das em no na um uma ao à com não pelo pela".split()),
+    frozenset("el los la las del y en con una al por sin".split()),
+    frozenset("the of and to in for with on by at from is".split()),
+)
 
 _TOKEN = re.compile(r"[^\W\d_]{2,}|[.;!?](?=\s|$)|[\r\n\f]+")
 SENTENCE, PARAGRAPH = -1, -2
@@ -40,6 +49,12 @@ def label_form(label: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", label.casefold()) if c.isalnum())
 
 
+def language(text: str) -> int:
+    """The position in ``COMMON`` of the language whose small words the text has most of."""
+    words = text.lower().split()
+    return max(range(len(COMMON)), key=lambda g: sum(w in COMMON[g] for w in words))
+
+
 class Areas:
     """Word weights, the chain and its calibration."""
 
@@ -126,15 +141,19 @@ class Areas:
                     parts.append((i, words))
         share = truth / np.maximum(1, truth.sum(axis=1, keepdims=True))
         belongs = np.array([share[i] for i, _ in parts]).reshape(-1, k)
+        spoken = np.array([language(t) for t in texts])[[i for i, _ in parts]] if parts else np.zeros(0, int)
+        by_language = np.zeros((size + 1, len(COMMON)))
+        for (_, words), g in zip(parts, spoken, strict=True):
+            np.add.at(by_language, (words, g), 1)
+        word_language = by_language.argmax(axis=1)
         for step in range(ROUNDS):
-            counts = np.full((size + 1, k), 0.3)
+            counts = np.zeros((size + 1, k))
             for (_, words), b in zip(parts, belongs, strict=True):
                 np.add.at(counts, words, b)
-            p = counts / counts.sum(axis=0)
-            mean = p.mean(axis=1, keepdims=True)
-            # shrunk towards no weight where a word is seldom, so that set phrases and names don't speak
-            seen = counts.sum(axis=1, keepdims=True) - 0.3 * k
-            self.weights = (np.log(p / mean) * seen / (seen + 3)).astype(np.float32)
+            # how often each area is in the texts of a language: a word speaks for an area only beyond that
+            usual = np.array([(belongs[spoken == g].sum(axis=0) + 0.5) / ((spoken == g).sum() + 0.5 * k) for g in range(len(COMMON))])[word_language]
+            odds = (counts + SHRINK * usual) / (counts.sum(axis=1, keepdims=True) + SHRINK) / usual
+            self.weights = np.maximum(np.log(odds), -1.5).astype(np.float32)
             self.weights[size] = 0
             scores = np.array([self.weights[w].mean(axis=0) * min(len(w), 60) for _, w in parts]).reshape(-1, k)
             allowed = np.array([truth[i] for i, _ in parts]).reshape(-1, k) > 0
