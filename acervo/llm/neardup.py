@@ -5,8 +5,8 @@ Texts are brought to the consistent form of problem 1, without case and accents,
 text order: two texts meet in a bucket with a probability that falls with their edit distance, reordering included.
 K-mers that one text in ``COMMON`` holds, and ``AT_LEAST`` texts, come last in every sketch, so set phrases don't fill buckets.
 
-Exact copies are first folded into one representative.  In a bucket every text is compared with the least id; those
-that differ from it meet again without it until none is left, so no bucket emits all its pairs and none is cut.
+Exact copies are first folded into one representative.  In a bucket every text is compared with the ``PIVOTS`` least ids;
+those that differ from them meet again without them until none is left, so no bucket emits all its pairs and none is cut.
 Candidates are verified by banded alignment of their words; what the alignment leaves open (moved passages) is settled by
 the exact similarity of the sets of ``K``-word sequences.  Groups are the connected components.
 
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from acervo.operators.components import components
@@ -39,6 +40,8 @@ K, LIMIT = 3, 0.5
 SKETCHES, TAKE, COMMON, AT_LEAST = 20, 2, 5_000, 30
 SEGMENT = 20_000
 BAND = 24
+#: Texts of a bucket that all others of it are compared with at a time; ids that are broadcast at most.
+PIVOTS, BROADCAST = 8, 300_000
 
 _ODD, _CHUNK = re.compile(ODD), re.compile(r"\S+")
 _MARKS = re.compile("[" + chr(0x300) + "-" + chr(0x36F) + "]")
@@ -112,7 +115,12 @@ def sketch(words: np.ndarray, common: np.ndarray) -> np.ndarray:
     h = mix(own[None, :] ^ _SEEDS[:, None]) >> np.uint64(1)
     h[:, late] |= _TOP
     take = min(TAKE, len(own))
-    at = np.sort(np.argpartition(h, take - 1, axis=1)[:, :take], axis=1)
+    if len(own) <= 0xFFFF:  # the position takes the place of the hash's low bits
+        h = (h & ~np.uint64(0xFFFF)) | np.arange(len(own), dtype=np.uint64)
+        h.partition(take - 1, axis=1)
+        at = np.sort((h[:, :take] & np.uint64(0xFFFF)).astype(np.int64), axis=1)
+    else:
+        at = np.sort(np.argpartition(h, take - 1, axis=1)[:, :take], axis=1)
     out = _SEEDS.copy()
     for i in range(take):
         out = mix(out + own[at[:, i]] * _M3)
@@ -238,6 +246,11 @@ def verify(pairs: DataFrame, words: DataFrame, limit: float = LIMIT) -> DataFram
     return both.select("a", "b", "pa", "pb").mapInArrow(run, f"a {kind}, b {kind}, ok boolean, alinhadas int")
 
 
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``id`` is among ``ids``, which are broadcast if they are few."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "id", "left_semi")
+
+
 def groups(spark: SparkSession, df: DataFrame, key: str = "id", text: str = "texto") -> DataFrame:
     """``id`` and ``grupo`` (the least id of the group) of every record that is in a group of two or more."""
     work = Workspace(spark, "neardup")
@@ -247,20 +260,26 @@ def groups(spark: SparkSession, df: DataFrame, key: str = "id", text: str = "tex
     copies = work.save(texts.select("id", "marca").join(copies, "marca").select("id", "grupo").distinct(), "copies")
     words = texts.join(copies.where("id <> grupo"), "id", "left_anti").select("id", "palavras")
     meet = work.save(buckets(spark, words, common_kmers(seen)), "buckets")
-    links, step = None, 0
+    shared = meet.groupBy("balde").agg(F.count("*").alias("c")).where("c > 1").select("balde")
+    meet = work.save(meet.join(shared, "balde"), "met")
+    words = work.save(only(words, meet.select("id").distinct()), "words")
+    told, step = None, 0
     while True:
-        stars = meet.groupBy("balde").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("balde", "a")
-        spokes = work.save(meet.join(stars, "balde").where("id <> a").select("balde", "a", F.col("id").alias("b")), f"spokes{step}")
+        order = W.partitionBy("balde").orderBy("id")
+        pivots = meet.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).select("balde", F.col("id").alias("a"))
+        spokes = work.save(meet.join(pivots, "balde").where("id > a").select("balde", "a", F.col("id").alias("b")), f"spokes{step}")
         if spokes.isEmpty():
             break
-        told = work.save(verify(spokes.select("a", "b").distinct(), words), f"told{step}")
-        good = told.where("ok").select("a", "b")
-        links = good if links is None else links.union(good)
-        bad = told.where("NOT ok").select("a", "b")
-        meet = work.save(spokes.join(bad, ["a", "b"], "left_semi").select("balde", F.col("b").alias("id")), f"rest{step}")
+        pairs = spokes.select("a", "b").distinct()
+        pairs = pairs if told is None else pairs.join(told, ["a", "b"], "left_anti")
+        new = work.save(verify(pairs, words), f"told{step}").select("a", "b", "ok")
+        told = new if told is None else told.union(new)
+        done = spokes.join(told.where("ok"), ["a", "b"], "left_semi").select("balde", F.col("b").alias("id"))
+        done = done.union(spokes.select("balde", F.col("a").alias("id"))).distinct()
+        meet = work.save(meet.join(done, ["balde", "id"], "left_anti"), f"rest{step}")
         step += 1
     edges = copies.where("id <> grupo").select(F.col("grupo").alias("a"), F.col("id").alias("b"))
-    edges = edges if links is None else edges.union(links)
+    edges = edges if told is None else edges.union(told.where("ok").select("a", "b"))
     return components(edges, work).select(F.col("no").alias("id"), "grupo")
 
 
