@@ -54,14 +54,16 @@ HIDDEN = _span(0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x180E, (0x200B, 0x200F), (0x
 SPACES = _span(0xA0, 0x1680, (0x2000, 0x200A), 0x202F, 0x205F, 0x3000)
 OTHER = "".join(LOOKALIKE)
 ODD = f"[{WIDE}{BOLD}{MARKS}{HIDDEN}{SPACES}{OTHER}]"
+#: A cheap test that every odd character passes: beyond Latin-1 but for common signs, or one of its two blanks.
+QUICK = f"[^{_span((0, 0x9F), (0xA1, 0xAC), (0xAE, 0xFF))}–—‘’“”…€™{chr(0xFFFD)}]"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 PIECE = rf"[\p{{L}}\p{{M}}\p{{N}}{HIDDEN}]+|[^\p{{L}}\p{{M}}\p{{N}}{HIDDEN}]+"
 
 #: What looks odd but belongs to wrong decoding or to an emoji is set aside as a private character meanwhile.
 ASIDE = (
-    (f"(?<=[ÂÃÄÅÎÏÐÑ]){NBSP}", NBSP, chr(0xE000)),
-    (f"(?<=[ÂÃÄÅÎÏÐÑ]){SHY}", SHY, chr(0xE001)),
-    (rf"(?<=[\p{{So}}\p{{Sk}}{VS16}]){ZWJ}(?=[\p{{So}}\p{{Sm}}])", ZWJ, chr(0xE002)),
+    (f"([ÂÃÄÅÎÏÐÑ]){NBSP}", NBSP, chr(0xE000)),
+    (f"([ÂÃÄÅÎÏÐÑ]){SHY}", SHY, chr(0xE001)),
+    (rf"([\p{{So}}\p{{Sk}}{VS16}]){ZWJ}(?=[\p{{So}}\p{{Sm}}])", ZWJ, chr(0xE002)),
 )
 #: Text of DOS letters read as Windows letters: there the no-break space was an "a" with acute accent.
 DOS = rf"\p{{L}}[‡‚ˆ¢£„]|[‡‚ˆ¢£]\p{{L}}|[{_span((0x80, 0x9F))}]"
@@ -87,7 +89,7 @@ def _mapped(pieces: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def _set_aside(c):
-    out = reduce(lambda c, x: F.regexp_replace(c, x[0], x[2]), ASIDE, c)
+    out = reduce(lambda c, x: F.regexp_replace(c, x[0], "$1" + x[2]), ASIDE, c)
     return F.when(c.rlike(DOS), F.translate(out, NBSP, chr(0xE000))).otherwise(out)
 
 

@@ -191,9 +191,9 @@ class Restorer:
 
 def fit(df: DataFrame, columns: list[str]) -> Restorer:
     """Dictionaries from about ``SAMPLE`` values, those whose row's hash is least, without the ones that look garbled."""
-    values = df.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("v"), F.xxhash64(*columns).alias("h"))
+    values = df.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("v"), F.pmod(F.xxhash64(*columns), F.lit(1_000_000)).alias("h"))
     share = min(1.0, SAMPLE / max(1, df.count() * len(columns)))
-    rows = values.where((F.col("h") <= int((2 * share - 1) * (2**63 - 1))) & F.col("v").isNotNull()).limit(2 * SAMPLE).collect()
+    rows = values.where((F.col("h") < max(1, round(share * 1_000_000))) & F.col("v").isNotNull()).limit(2 * SAMPLE).collect()
     return Restorer([r.v for r in rows if not _PLAIN_SIGNS.search(r.v)])
 
 
