@@ -3,7 +3,7 @@
 Texts are brought to the consistent form of problem 1, without case and accents, and cut into words.  Each of
 ``SKETCHES`` sketches of a text takes the ``TAKE`` least of its occurrence-labelled k-mers of ``K`` words and keeps them in
 text order: two texts meet in a bucket with a probability that falls with their edit distance, reordering included.
-K-mers that one text in ``COMMON`` holds, and ``AT_LEAST`` texts, come last in every sketch, so set phrases don't fill buckets.
+K-mers that come once in ``COMMON`` texts, and ``AT_LEAST`` times, come last in every sketch, so set phrases don't fill buckets.
 
 Exact copies are first folded into one representative.  In a bucket every text is compared with the ``PIVOTS`` least ids;
 those that differ from them meet again without them until none is left, so no bucket emits all its pairs and none is cut.
@@ -87,44 +87,67 @@ def kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     return out
 
 
-def labelled(own: np.ndarray) -> np.ndarray:
-    """K-mers with the number of their occurrence."""
-    order = np.argsort(own, kind="stable")
-    s = own[order]
-    first = np.concatenate([[True], s[1:] != s[:-1]])
+def kmers_of(words: np.ndarray, ends: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """K-mers of many texts, whose words lie one after the other up to ``ends``; and the text of each."""
+    text = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+    own = kmers(words, k)
+    inside = text[: len(own)] == text[k - 1 :] if len(own) else np.zeros(0, bool)
+    return own[inside], text[: len(own)][inside]
+
+
+def labelled(own: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """K-mers with the number of their occurrence in their text."""
+    key = own ^ mix(text.astype(np.uint64) * _M3)
+    order = np.argsort(key, kind="stable")
+    s = key[order]
     at = np.arange(len(s))
+    first = np.concatenate([np.ones(min(1, len(s)), bool), s[1:] != s[:-1]])
     count = at - np.maximum.accumulate(np.where(first, at, 0))
     out = own.copy()
-    out[order] = mix(s + count.astype(np.uint64) * _M3)
+    again = count > 0
+    out[order[again]] = mix(own[order[again]] + count[again].astype(np.uint64) * _M3)
     return out
 
 
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _M3)
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
 
+def sketches(words: np.ndarray, ends: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of many texts, one a sketch, and the text of each; texts without k-mers have none.
 
-def sketch(words: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """One bucket a sketch."""
-    own = kmers(words)
+    A sketch takes the least k-mers one after the other by minima over each text, then combines them in text order.
+    """
+    own, text = kmers_of(words, ends)
     if not len(own):
-        return own
+        return own, text
     late = np.zeros(len(own), bool)
     if len(common):
         at = np.searchsorted(common, own)
         late = common[np.minimum(at, len(common) - 1)] == own
-    own = labelled(own)
-    h = mix(own[None, :] ^ _SEEDS[:, None]) >> np.uint64(1)
-    h[:, late] |= _TOP
-    take = min(TAKE, len(own))
-    if len(own) <= 0xFFFF:  # the position takes the place of the hash's low bits
-        h = (h & ~np.uint64(0xFFFF)) | np.arange(len(own), dtype=np.uint64)
-        h.partition(take - 1, axis=1)
-        at = np.sort((h[:, :take] & np.uint64(0xFFFF)).astype(np.int64), axis=1)
-    else:
-        at = np.sort(np.argpartition(h, take - 1, axis=1)[:, :take], axis=1)
-    out = _SEEDS.copy()
-    for i in range(take):
-        out = mix(out + own[at[:, i]] * _M3)
-    return out
+    own = labelled(own, text)
+    starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+    size = np.diff(np.append(starts, len(text)))
+    which = np.repeat(np.arange(len(starts)), size)
+    out = np.empty((len(_SEEDS), len(starts)), np.uint64)
+    for j, seed in enumerate(_SEEDS):
+        h = mix(own ^ seed) >> np.uint64(1)
+        h[late] |= _TOP
+        taken = np.empty((TAKE, len(starts)), np.int64)
+        for i in range(TAKE):
+            least = np.minimum.reduceat(h, starts)
+            hit = np.flatnonzero(h == least[which])
+            taken[i] = hit[np.concatenate([[True], which[hit[1:]] != which[hit[:-1]]])]
+            h[taken[i]] = _FULL
+        short = size < TAKE  # nothing is left to take: the last one again
+        for i in range(1, TAKE):
+            taken[i] = np.where(short & (i >= size), taken[i - 1], taken[i])
+        taken.sort(axis=0)
+        b = np.full(len(starts), seed)
+        for i in range(TAKE):
+            b = mix(b + own[taken[i]] * _M3)
+        out[j] = b
+    return out.ravel(), np.tile(text[starts], len(_SEEDS))
 
 
 def banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int = BAND) -> np.ndarray:
@@ -174,7 +197,8 @@ def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, count, texts = Numbers(), [], 0, 0
+        number, held, texts, id_type = Numbers(), [], 0, pa.int64()
+        names = ["id", "palavras", "marca", "comum", "n"]
 
         def flush() -> pa.RecordBatch:
             all_, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
@@ -182,18 +206,19 @@ def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
             size = int(often.sum())
             return pa.RecordBatch.from_arrays([pa.nulls(size, id_type), pa.nulls(size, pa.list_(pa.int32())), pa.nulls(size, pa.binary()), pa.array(all_[often].astype(np.int64)), pa.array(n[often])], names=names)
 
-        names, id_type = ["id", "palavras", "marca", "comum", "n"], pa.int64()
         for part in batches:
             id_type = part.column(0).type
-            own = [np.array([number[w] for w in words_of(t)], np.int32) for t in part.column(1).to_pylist()]
+            own = [[number[w] for w in words_of(t)] for t in part.column(1).to_pylist()]
             keep = [i for i, w in enumerate(own) if len(w) >= K]
             ends = np.cumsum([0, *(len(own[i]) for i in keep)]).astype(np.int32)
-            flat = np.concatenate([*(own[i] for i in keep), np.zeros(0, np.int32)])
-            marks = [xxhash.xxh3_128_digest(own[i].tobytes()) for i in keep]
+            flat = np.array([n for i in keep for n in own[i]], np.int32)
+            raw = flat.tobytes()
+            marks = [xxhash.xxh3_128_digest(raw[4 * a : 4 * b]) for a, b in zip(ends, ends[1:], strict=False)]
             ids = part.column(0).take(pa.array(keep, pa.int32()))
             none = pa.nulls(len(keep), pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(marks, pa.binary()), none, none], names=names)
-            held += [np.unique(kmers(own[i])) for i in keep]
+            if keep:
+                held.append(kmers_of(flat, ends[1:])[0])
             texts += len(keep)
             if texts >= SEGMENT:
                 yield flush()
@@ -212,7 +237,7 @@ def split_lists(column: pa.Array) -> list[np.ndarray]:
 
 
 def common_kmers(seen: DataFrame) -> np.ndarray:
-    """K-mers that one text in ``COMMON`` holds or more, sorted: at most ``COMMON`` times the mean k-mers of a text."""
+    """K-mers that come once in ``COMMON`` texts or more, sorted: at most ``COMMON`` times the mean k-mers of a text."""
     texts = seen.where("id IS NOT NULL").count()
     often = seen.where("comum IS NOT NULL").groupBy("comum").agg(F.sum("n").alias("n")).where(F.col("n") >= max(AT_LEAST, texts // COMMON))
     return np.sort(np.array([r.comum for r in often.select("comum").toLocalIterator()], np.int64).astype(np.uint64))
@@ -223,10 +248,13 @@ def buckets(spark: SparkSession, words: DataFrame, common: np.ndarray) -> DataFr
     shared, kind = spark.sparkContext.broadcast(common), words.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            own = [sketch(w, shared.value) for w in split_lists(part.column(1))]
-            ids = part.column(0).take(pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).astype(np.int64)), ids], names=["balde", "id"])
+        for rows in batches:
+            for at in range(0, rows.num_rows, 2_000):
+                part = rows.slice(at, 2_000)
+                lists = part.column(1)
+                ends = np.asarray(lists.offsets)
+                own, text = sketches(np.asarray(lists.values)[ends[0] : ends[-1]], ends[1:] - ends[0], shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), part.column(0).take(pa.array(text))], names=["balde", "id"])
 
     return words.select("id", "palavras").mapInArrow(run, f"balde long, id {kind}")
 
