@@ -90,6 +90,14 @@ def queries() -> dict[str, Query]:
     }
 
 
+_WINDOWS = """
+    SELECT DISTINCT {key}, array_to_string(palavras[i:i + 11], ' ') AS janela FROM (
+      SELECT {key}, palavras, unnest(range(1, len(palavras) - 10)) AS i FROM (
+        SELECT {key}, regexp_extract_all(strip_accents(lower({text})), '[\\p{{L}}\\p{{N}}]+') AS palavras FROM {table} WHERE {text} IS NOT NULL))"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Queries of this package that plain SQL can state in full."""
-    return {}
+    docs = _WINDOWS.format(key="doc_id", text="text", table="documents")
+    items = _WINDOWS.format(key="item_id", text="enunciado", table="itens_avaliacao")
+    return {"p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({docs}) d JOIN ({items}) i USING (janela)"}
