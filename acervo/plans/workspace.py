@@ -30,10 +30,11 @@ class Workspace:
         self.path = f"{shared_dir(spark)}/acervo-{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it again: the plan behind it is not run a second time."""
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write ``df`` as Parquet, in folders ``by`` a column, and read it again: its plan is not run a second time."""
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
