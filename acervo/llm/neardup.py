@@ -50,12 +50,18 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 _TOP = np.uint64(1 << 63)
 
 
+def consistent(text: str) -> str:
+    """The text in the consistent form of problem 1."""
+    if text.isascii() or not _ODD.search(text):
+        return text
+    return _CHUNK.sub(lambda m: mapped_form(m[0]) if _ODD.search(m[0]) else m[0], text)
+
+
 def words_of(text: str) -> list[str]:
     """The words of a text in its consistent form, without case and accents."""
     if text.isascii():
         return _WORD.findall(text.lower())
-    if _ODD.search(text):
-        text = _CHUNK.sub(lambda m: mapped_form(m[0]) if _ODD.search(m[0]) else m[0], text)
+    text = consistent(text)
     return _WORD.findall(_MARKS.sub("", unicodedata.normalize("NFD", text.casefold())))
 
 
@@ -193,7 +199,7 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], limit: float = LIMIT) ->
 
 
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``id``, ``palavras``, ``marca`` (hash of the words) of every text; and rows of ``comum``, ``n``: common k-mers."""
+    """``id``, ``palavras`` (numbers, as bytes), ``marca`` (their hash) of every text; and rows of ``comum``, ``n``: common k-mers."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,19 +210,20 @@ def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
             all_, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
             often = n >= max(3, texts / COMMON)
             size = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(size, id_type), pa.nulls(size, pa.list_(pa.int32())), pa.nulls(size, pa.binary()), pa.array(all_[often].astype(np.int64)), pa.array(n[often])], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(size, id_type), pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary()), pa.array(all_[often].astype(np.int64)), pa.array(n[often])], names=names)
 
         for part in batches:
             id_type = part.column(0).type
             own = [[number[w] for w in words_of(t)] for t in part.column(1).to_pylist()]
             keep = [i for i, w in enumerate(own) if len(w) >= K]
-            ends = np.cumsum([0, *(len(own[i]) for i in keep)]).astype(np.int32)
+            ends = np.cumsum([0, *(len(own[i]) for i in keep)])
             flat = np.array([n for i in keep for n in own[i]], np.int32)
             raw = flat.tobytes()
-            marks = [xxhash.xxh3_128_digest(raw[4 * a : 4 * b]) for a, b in zip(ends, ends[1:], strict=False)]
+            raw = [raw[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)]
+            marks = [xxhash.xxh3_128_digest(x) for x in raw]
             ids = part.column(0).take(pa.array(keep, pa.int32()))
             none = pa.nulls(len(keep), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(marks, pa.binary()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(raw, pa.binary()), pa.array(marks, pa.binary()), none, none], names=names)
             if keep:
                 held.append(kmers_of(flat, ends[1:])[0])
             texts += len(keep)
@@ -227,13 +234,12 @@ def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
             yield flush()
 
     rows = df.select(key, text).where(F.length(F.trim(F.col(text))) > 0)
-    return rows.mapInArrow(run, f"id {kind}, palavras array<int>, marca binary, comum long, n long")
+    return rows.mapInArrow(run, f"id {kind}, palavras binary, marca binary, comum long, n long")
 
 
-def split_lists(column: pa.Array) -> list[np.ndarray]:
-    """The lists of a list column as arrays."""
-    flat, ends = np.asarray(column.values), np.asarray(column.offsets)
-    return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+def word_numbers(column: pa.Array) -> list[np.ndarray]:
+    """The word numbers that a binary column holds."""
+    return [np.frombuffer(x, np.int32) for x in column.to_pylist()]
 
 
 def common_kmers(seen: DataFrame) -> np.ndarray:
@@ -251,9 +257,8 @@ def buckets(spark: SparkSession, words: DataFrame, common: np.ndarray) -> DataFr
         for rows in batches:
             for at in range(0, rows.num_rows, 2_000):
                 part = rows.slice(at, 2_000)
-                lists = part.column(1)
-                ends = np.asarray(lists.offsets)
-                own, text = sketches(np.asarray(lists.values)[ends[0] : ends[-1]], ends[1:] - ends[0], shared.value)
+                lists = word_numbers(part.column(1))
+                own, text = sketches(np.concatenate(lists), np.cumsum([len(x) for x in lists]), shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), part.column(0).take(pa.array(text))], names=["balde", "id"])
 
     return words.select("id", "palavras").mapInArrow(run, f"balde long, id {kind}")
@@ -265,7 +270,7 @@ def verify(pairs: DataFrame, words: DataFrame, limit: float = LIMIT) -> DataFram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            ok, matched = similar(list(zip(split_lists(part.column(2)), split_lists(part.column(3)), strict=True)), limit)
+            ok, matched = similar(list(zip(word_numbers(part.column(2)), word_numbers(part.column(3)), strict=True)), limit)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ok), pa.array(matched)], names=["a", "b", "ok", "alinhadas"])
 
     own = words.select("id", "palavras")
