@@ -6,9 +6,10 @@ shuffled to the buckets and the history is not: a semi-join finds full copies, a
 words, give the coverage that makes a pair a candidate.  A candidate is checked exactly by the similarity of its sets of
 three-word sequences.  What a batch has accepted is appended as its hashes.
 
-Of a row's paragraphs those are looked up that the fewest history rows hold, up to more than ``1 - COVERAGE`` of its
-words: a row that shares ``COVERAGE`` of them shares one of these.  Set phrases are so looked up only where they are the
-text.  Rows of a batch that are the same text are one class, so a group of copies costs one lookup and no pairs.
+Of a row's paragraphs those are looked up that the fewest history rows hold, all but a tenth of its words, so set phrases
+are looked up only where they are the text.  A history row is a candidate if what it shares of these, and all of the
+tenth, may reach ``COVERAGE``: no row that shares so much is lost.  Rows of a batch that
+are the same text are one class, so a group of copies costs one lookup and no pairs.
 
 Defined cases: rows with an error are neither cases nor accepted; null hashes equal nothing; null, empty and blank texts,
 and those under three words, are compared by hash only; the first row of equal ones in arrival order is the one that may
@@ -30,28 +31,33 @@ from pyspark.sql import functions as F
 
 from acervo.plans.workspace import Workspace
 
-from .neardup import Numbers, verify, words_of
+from .neardup import Numbers, consistent, verify, words_of
 
-COVERAGE, LEAST_WORDS = 0.2, 5
+COVERAGE, REST, LEAST_WORDS = 0.2, 0.1, 5
 BROADCAST = 200_000
 
 _PARAGRAPH = re.compile(r"[.;:!?…]+(?:\s|$)|\n\s*\n")
+#: Where a field that ends in a number is followed by a sentence without a mark between them.
+_FIELD = re.compile(r"(?<=\d)\s+(?=[A-ZÀ-Ý])")
 
 
 def paragraphs(text: str, number: Numbers) -> tuple[list[int], list[int], list[int]]:
-    """Numbers of all words; hashes and sizes of the sentences of ``LEAST_WORDS`` words or more."""
+    """Numbers of all words; hashes and sizes of the sentences and of their parts, of ``LEAST_WORDS`` words or more."""
     words: list[int] = []
     units: dict[int, int] = {}
-    for part in _PARAGRAPH.split(text):
-        own = [number[w] for w in words_of(part)]
-        words += own
-        if len(own) >= LEAST_WORDS:
-            units[xxhash.xxh3_64_intdigest(np.array(own, np.int32).tobytes()) - (1 << 63)] = len(own)
+    for sentence in _PARAGRAPH.split(consistent(text)):
+        parts = [[number[w] for w in words_of(p)] for p in _FIELD.split(sentence)]
+        whole = [n for p in parts for n in p]
+        words += whole
+        for own in [whole, *parts] if len(parts) > 1 else parts:
+            if len(own) >= LEAST_WORDS:
+                units[xxhash.xxh3_64_intdigest(np.array(own, np.int32).tobytes()) - (1 << 63)] = len(own)
     return words, list(units), list(units.values())
 
 
-def features(df: DataFrame, key: str, digest: str, text: str) -> DataFrame:
-    """``id``, ``hash`` (lower case), ``marca``, ``palavras``, ``paragrafos`` and ``tamanhos`` of every row."""
+def features(df: DataFrame, key: str, digest: str, text: str, batch: str | None = None) -> DataFrame:
+    """``id``, ``hash`` (lower case), ``marca``, ``palavras``, ``paragrafos``, ``tamanhos`` and the batch of every row."""
+    lot = F.lit(0) if batch is None else F.col(batch).cast("int")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Numbers()
@@ -60,13 +66,14 @@ def features(df: DataFrame, key: str, digest: str, text: str) -> DataFrame:
             marks = [xxhash.xxh3_128_hexdigest(np.array(w, np.int32).tobytes()) if len(w) > 2 else None for w, _, _ in out]
             yield pa.RecordBatch.from_arrays([
                 part.column(0), part.column(1), pa.array(marks, pa.string()),
-                pa.array([w if m else [] for (w, _, _), m in zip(out, marks, strict=True)], pa.list_(pa.int32())),
+                pa.array([np.array(w, np.int32).tobytes() if m else None for (w, _, _), m in zip(out, marks, strict=True)], pa.binary()),
                 pa.array([u if m else [] for (_, u, _), m in zip(out, marks, strict=True)], pa.list_(pa.int64())),
                 pa.array([s if m else [] for (_, _, s), m in zip(out, marks, strict=True)], pa.list_(pa.int32())),
-            ], names=["id", "hash", "marca", "palavras", "paragrafos", "tamanhos"])
+                part.column(3),
+            ], names=["id", "hash", "marca", "palavras", "paragrafos", "tamanhos", "lote"])
 
-    rows = df.select(F.col(key).cast("long").alias("id"), F.lower(F.col(digest)).alias("hash"), F.col(text).alias("texto"))
-    return rows.mapInArrow(run, "id long, hash string, marca string, palavras array<int>, paragrafos array<long>, tamanhos array<int>")
+    rows = df.select(F.col(key).cast("long").alias("id"), F.lower(F.col(digest)).alias("hash"), F.col(text).alias("texto"), lot.alias("lote"))
+    return rows.mapInArrow(run, "id long, hash string, marca string, palavras binary, paragrafos array<long>, tamanhos array<int>, lote int")
 
 
 class History:
@@ -75,42 +82,60 @@ class History:
     def __init__(self, spark: SparkSession, work: Workspace, buckets: int | None = None):
         self.spark, self.work, self.name = spark, work, f"acervo_{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.started = False
 
     def _add(self, df: DataFrame, part: str, by: str) -> None:
         out = df.repartition(self.buckets, by).write.mode("append").format("parquet").bucketBy(self.buckets, by)
         out.option("path", f"{self.work.path}/{part}").saveAsTable(f"{self.name}_{part}")
 
     def append(self, rows: DataFrame) -> None:
-        """Take up rows with features: their hashes, paragraphs and words."""
-        self._add(rows.where("hash IS NOT NULL").select("hash"), "hashes", "hash")
-        each = rows.select("id", F.explode("paragrafos").alias("u"))
-        self._add(each, "paragraphs", "u")
-        self._add(rows.where("marca IS NOT NULL").select("id", "palavras"), "words", "id")
-        self.started = True
-
-    def table(self, part: str) -> DataFrame:
-        return self.spark.table(f"{self.name}_{part}")
+        """Take up rows with features: the keys of their hashes and paragraphs, and their words.
+
+        Of rows with the same text the first stands for all, so copies add their file hashes only.
+        """
+        first = rows.where("marca IS NOT NULL").groupBy("marca").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("primeira"))
+        rows = rows.join(first, "id", "left").withColumn("paragrafos", F.when(F.col("primeira"), F.col("paragrafos")).otherwise(F.array()))
+        self._add(keys(rows), "keys", "chave")
+        self._add(rows.where("primeira").select("id", "palavras"), "words", "id")
+
+    def held(self, wanted: DataFrame) -> DataFrame:
+        """The keys of the history that a batch has: a semi-join in the buckets, hashed on the batch's side."""
+        few = wanted.select("chave").distinct().repartition(self.buckets, "chave")
+        return self.spark.table(f"{self.name}_keys").join(few.hint("shuffle_hash"), "chave", "left_semi")
+
+    def words(self, ids: DataFrame) -> DataFrame:
+        """The words of some history rows."""
+        if ids.count() <= BROADCAST:
+            return self.spark.table(f"{self.name}_words").join(F.broadcast(ids), "id", "left_semi").select("id", "palavras")
+        return self.spark.table(f"{self.name}_words").join(ids.repartition(self.buckets, "id"), "id", "left_semi").select("id", "palavras")
 
     def drop(self) -> None:
-        for part in ("hashes", "paragraphs", "words"):
+        for part in ("keys", "words"):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{part}")
 
 
-def _candidates(classes: DataFrame, held: DataFrame, buckets: int) -> DataFrame:
-    """``a`` (of ``held``), ``b`` (of ``classes``) that share ``COVERAGE`` of the words of ``b``.
+def keys(rows: DataFrame) -> DataFrame:
+    """``chave``, ``id``, ``hash``: one row for the file's hash (``hash`` set), one for each paragraph."""
+    file = F.when(F.col("hash").isNotNull(), F.array(F.xxhash64("hash"))).otherwise(F.array())
+    each = F.concat(F.transform(file, lambda k: F.struct(k.alias("chave"), F.col("hash").alias("hash"))), F.transform("paragrafos", lambda k: F.struct(k.alias("chave"), F.lit(None).cast("string").alias("hash"))))
+    return rows.select("id", F.explode(each).alias("x")).select("x.chave", "id", "x.hash")
+
+
+def _candidates(classes: DataFrame, held: DataFrame) -> DataFrame:
+    """``a``, ``b``: rows of ``held`` (``chave``, ``id``) and of ``classes`` that may share ``COVERAGE`` of the words of ``b``.
 
-    ``classes`` has ``id``, ``paragrafos``, ``tamanhos``; ``held`` has ``id`` and ``u``.
+    Of a row of ``classes`` those paragraphs are looked up that ``held`` has least often, all but ``REST`` of its words or
+    less; a pair stays if what it shares of these, and all of the rest, reach ``COVERAGE``.  None that does is lost.
     """
-    each = classes.select("id", F.explode(F.arrays_zip("paragrafos", "tamanhos")).alias("x")).select("id", F.col("x.paragrafos").alias("u"), F.col("x.tamanhos").alias("w"))
-    each = each.repartition(buckets, "u")
-    counts = held.groupBy("u").agg(F.count("*").alias("df")).join(each.select("u").distinct(), "u", "left_semi")
-    seen = each.join(counts, "u", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    order = W.partitionBy("id").orderBy("df", "u")
-    seen = seen.withColumn("antes", F.sum("w").over(order) - F.col("w")).withColumn("todas", F.sum("w").over(W.partitionBy("id")))
-    rare = seen.where((F.col("df") > 0) & (F.col("antes") <= (1 - COVERAGE) * F.col("todas")))
-    pairs = rare.repartition(buckets, "u").join(held.withColumnRenamed("id", "a"), "u").where("a <> id")
-    return pairs.select("a", F.col("id").alias("b")).distinct()
+    each = classes.select("id", F.explode(F.arrays_zip("paragrafos", "tamanhos")).alias("x")).select(F.col("id").alias("b"), F.col("x.paragrafos").alias("chave"), F.col("x.tamanhos").alias("w"))
+    seen = each.join(held.groupBy("chave").agg(F.count("*").alias("df")), "chave", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    order = W.partitionBy("b").orderBy("df", "chave")
+    seen = seen.withColumn("antes", F.sum("w").over(order) - F.col("w")).withColumn("todas", F.sum("w").over(W.partitionBy("b")))
+    last = F.when(F.col("antes") > (1 - REST) * F.col("todas"), F.col("w")).otherwise(0)
+    seen = seen.withColumn("resto", F.sum(last).over(W.partitionBy("b")))
+    rare = seen.where((F.col("df") > 0) & (F.col("antes") <= (1 - REST) * F.col("todas"))).select("b", "chave", "w", "todas", "resto")
+    shared = rare.join(held.select("chave", F.col("id").alias("a")), "chave").where("a <> b")
+    shared = shared.groupBy("a", "b").agg(F.sum("w").alias("w"), F.first("todas").alias("todas"), F.first("resto").alias("resto"))
+    return shared.where(F.col("w") + F.col("resto") >= COVERAGE * F.col("todas")).select("a", "b")
 
 
 def check(history: History, batch: DataFrame, step: str, limit: float = 0.5) -> DataFrame:
@@ -119,38 +144,42 @@ def check(history: History, batch: DataFrame, step: str, limit: float = 0.5) ->
     ``batch`` has the features of rows without error, ids in arrival order.
     """
     work = history.work
-    rows = batch.withColumn("classe", F.coalesce("marca", F.concat(F.lit("h"), "hash"), F.concat(F.lit("i"), F.col("id").cast("string"))))
-    rows = work.save(rows, f"{step}-rows")
-    exact = rows.where("hash IS NOT NULL").select("id", "hash").repartition(history.buckets, "hash").join(history.table("hashes"), "hash", "left_semi").select("id", F.lit(True).alias("exata"))
-    told = work.save(rows.select("id", "hash", "classe").join(exact, "id", "left"), f"{step}-exact")
-    first = told.where("exata IS NULL").groupBy("classe").agg(F.min("id").alias("id"))
-    classes = work.save(rows.join(first.select("id"), "id", "left_semi"), f"{step}-classes")
+    mark = F.coalesce("marca", F.concat(F.lit("h"), "hash"), F.concat(F.lit("i"), F.col("id").cast("string")))
+    rows = work.save(batch.withColumn("classe", mark), f"{step}-rows")
+    held = work.save(history.held(keys(rows)), f"{step}-held")
+    exact = held.where("hash IS NOT NULL").select("hash").distinct().withColumn("exata", F.lit(True))
+    told = rows.join(exact, "hash", "left")
+    first = told.where("exata IS NULL").groupBy("classe").agg(F.min("id").alias("primeira"))
+    told = work.save(told.join(first, "classe", "left"), f"{step}-told")
+    classes = told.where("exata IS NULL AND id = primeira")
     texts = classes.where("marca IS NOT NULL")
-    old = work.save(_candidates(texts, history.table("paragraphs"), history.buckets), f"{step}-old")
-    words = history.table("words")
-    if old.count() <= BROADCAST:
-        words = words.join(F.broadcast(old.select(F.col("a").alias("id")).distinct()), "id", "left_semi")
-    similar_old = work.save(verify(old, words.select("id", "palavras").union(texts.select("id", "palavras")), limit).where("ok").select(F.col("b").alias("id")).distinct(), f"{step}-similar")
-    inside = _candidates(texts, texts.select("id", F.explode("paragrafos").alias("u")), history.buckets)
-    inside = inside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = work.save(verify(inside, texts, limit).where("ok").select("a", "b"), f"{step}-inside")
+    both = held.where("hash IS NULL").select("chave", "id").union(texts.select(F.explode("paragrafos").alias("chave"), "id"))
+    pairs = _candidates(texts, both).join(texts.select(F.col("id").alias("a"), F.lit(True).alias("dentro")), "a", "left")
+    pairs = pairs.withColumn("dentro", F.coalesce("dentro", F.lit(False)))
+    # two rows of the batch: the earlier one is a, whichever found the other
+    inside = F.col("dentro")
+    pairs = pairs.select(F.when(inside, F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(inside, F.greatest("a", "b")).otherwise(F.col("b")).alias("b"), "dentro").distinct()
+    pairs = work.save(pairs, f"{step}-pairs")
+    words = history.words(pairs.where("NOT dentro").select(F.col("a").alias("id")).distinct()).union(texts.select("id", "palavras"))
+    like = verify(pairs.select("a", "b"), words, limit).where("ok").select("a", "b").join(pairs, ["a", "b"])
+    like = work.save(like, f"{step}-like")
+    edges = like.where("dentro").select("a", "b")
 
     # a class is accepted unless it resembles the history or an accepted class before it; decided from the first on
-    open_ = classes.select("id").join(similar_old, "id", "left_anti")
-    refused, k = similar_old, 0
+    refused, k = like.where("NOT dentro").select(F.col("b").alias("id")).distinct(), 0
     while True:
-        live = edges.join(open_.select(F.col("id").alias("b")), "b", "left_semi").join(refused.select(F.col("id").alias("a")), "a", "left_anti")
+        live = edges.join(refused.select(F.col("id").alias("a")), "a", "left_anti").join(refused.select(F.col("id").alias("b")), "b", "left_anti")
         live = work.save(live, f"{step}-live{k}")
         if live.isEmpty():
             break
         free = live.select(F.col("a").alias("id")).distinct().join(live.select(F.col("b").alias("id")), "id", "left_anti")
-        new = work.save(live.join(free.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct(), f"{step}-refused{k}")
-        refused, open_, k = refused.union(new), open_.join(new, "id", "left_anti"), k + 1
-    accepted = work.save(open_.join(told.select("id", "hash", "classe"), "id"), f"{step}-accepted")
+        new = live.join(free.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        refused, k = refused.union(work.save(new, f"{step}-refused{k}")), k + 1
+    accepted = work.save(classes.select("id", "hash", "classe").join(refused, "id", "left_anti"), f"{step}-accepted")
 
     # rows of an accepted class after its first are cases; so is a row whose hash an accepted row before it has
     hashes = accepted.where("hash IS NOT NULL").groupBy("hash").agg(F.min("id").alias("dono"))
-    out = told.join(hashes, "hash", "left").join(accepted.select("classe", F.col("id").alias("aceita")), "classe", "left")
+    out = told.select("id", "hash", "classe", "exata").join(hashes, "hash", "left").join(accepted.select("classe", F.col("id").alias("aceita")), "classe", "left")
     kind = F.when(F.col("exata") | (F.col("dono") < F.col("id")), "exata").when((F.col("aceita") == F.col("id")) | rows_without_text("classe"), F.lit(None)).otherwise("quase")
     out = work.save(out.select("id", kind.alias("tipo")), f"{step}-out")
     history.append(rows.join(out.where("tipo IS NULL").select("id"), "id", "left_semi"))
@@ -168,10 +197,13 @@ def found(spark: SparkSession, documents: DataFrame, inbox: DataFrame, batches:
     history = History(spark, work)
     past = work.save(features(documents.withColumn("chave", F.col("id") * 2), "chave", "hash", "texto"), "past")
     history.append(past)
+    lots = batches.select("lote").distinct()
+    own = inbox.where("erro IS NULL").join(F.broadcast(lots), "lote", "left_semi").withColumn("chave", F.col("entrada_id") * 2 + 1)
+    # a row's features don't depend on the history: they are made in one pass and read by batch
+    own = work.save(features(own, "chave", "hash", "texto", "lote"), "inbox", "lote")
     out = None
-    for row in batches.select("lote").distinct().orderBy("lote").toLocalIterator():
-        own = inbox.where((F.col("lote") == row.lote) & F.col("erro").isNull()).withColumn("chave", F.col("entrada_id") * 2 + 1)
-        cases = check(history, features(own, "chave", "hash", "texto"), f"b{row.lote}")
+    for row in lots.orderBy("lote").toLocalIterator():
+        cases = check(history, own.where(F.col("lote") == row.lote).drop("lote"), f"b{row.lote}")
         out = cases if out is None else out.union(cases)
     history.drop()
     if out is None:
