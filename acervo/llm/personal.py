@@ -76,7 +76,8 @@ _SEP = r"[ .\n-]{0,2}"
 _PHONE = re.compile(rf"(?<![\w$])(?<!\d[.,/-])(?:\+?55{_SEP}\(?0?[1-9]\d\)?{_SEP}|\(0?[1-9]\d\){_SEP}|0?[1-9]\d[ .\n-])?(?:9{_SEP})?\d{{4}}{_SEP}\d{{4}}(?![\w%])(?![.,/-]\d)")
 _CPF = re.compile(r"(?<![\w$])(?<!\d[.,/-])\d{3}[. \n]?\d{3}[. \n]?\d{3}[-. /\n]?\d{2}(?![\w%])(?![.,/-]\d)")
 _RG = re.compile(r"(?<![\w$])(?<!\d[.,/-])\d{1,2}\.?\d{3}\.?\d{3}-?[\dXx](?![\w%])(?![.,/-]\d)")
-_PASSPORT = re.compile(r"(?<=[A-Za-z]{2})\d{6}(?![\w-])|(?<=[A-Za-z]{2}[ -])\d{6}(?![\w-])")
+_PASSPORT = re.compile(r"\d{6}(?![\w-])")
+_LETTERS = re.compile(r"(?<![\w-])[A-Za-z]{2}[ -]?$")
 _STREET = re.compile(
     r"(?<![\w-])(?:r\.|rua|av\.?|avenida|alameda|al\.|travessa|trav\.|tv\.|praça|pça\.?|rodovia|rod\.|estrada|largo|ladeira|viela|beco)\s+"
     r"((?:[^\W\d_][\w.'’-]*\s+){0,5}?[^\W\d_][\w'’-]*)(\s*,\s*|\s+-\s+|\s+)(n\s?(?:[º°o]|[^\w\s]){1,2}\s*|número\s+)?(\d{1,5}(?![\d%/])|s\s?/\s?n[º°o]?(?!\w))",
@@ -88,6 +89,8 @@ _INTRO = re.compile(
     r"representad[oa]\s+por|senhor[a]?|procurador[a]?:|vendedor[a]?:|comprador[a]?:|eu,)\s+(?=[^\W\d_])",
     re.IGNORECASE,
 )
+#: What every introduction begins with: it is looked for only where one of these stands.
+_STARTS = "assinad|em nome|em\\nnome|a pedido|a\\npedido|atend|respons|titular|client|sr|dr|pagador|benef|favorecid|contratante:|locat|locador|paciente|alun|portador|nome:|combinado|recebi|representad|senhor|procurador|vendedor|comprador|eu,".split("|")
 _NAME_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _GAP = re.compile(r"[ \t]*\n?[ \t]*(?=[^\W\d_])|,\s+(?=[^\W\d_])")
 _LONG_WORD = re.compile(r"[^\W\d_]{3,}")
@@ -185,6 +188,25 @@ def mail_start(text: str, at: int) -> int:
     return m.start() if m else at
 
 
+def introductions(text: str) -> list[re.Match]:
+    """Matches of ``_INTRO`` in text order, tried only at the beginnings that its alternatives have."""
+    small = text.lower()
+    if len(small) != len(text):
+        return list(_INTRO.finditer(text))
+    out, spots = [], set()
+    for word in _STARTS:
+        at = small.find(word)
+        while at >= 0:
+            spots.add(at)
+            at = small.find(word, at + 1)
+    last = 0
+    for at in sorted(spots):
+        if at >= last and (m := _INTRO.match(text, at)):
+            out.append(m)
+            last = m.end()
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
     """Start, end, kind and features of every candidate segment."""
     out: list[tuple[int, int, str, list[str]]] = []
@@ -199,9 +221,10 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
             bare = m[0].isdigit() or m[0][:-2].isdigit()
             out.append((m.start(), m.end(), kind, [form, f"{form} {'bare' if bare else 'marked'} {f[0][:7]}", *f]))
     for m in _PASSPORT.finditer(text):
-        start = m.start() - 2 - (text[m.start() - 1] in " -")
-        if start and (text[start - 1].isalnum() or text[start - 1] in "-_"):
+        letters = _LETTERS.search(text, max(0, m.start() - 4), m.start())
+        if not letters:
             continue
+        start = letters.start()
         left = before(text, start)
         out.append((start, m.end(), "identidade", ["passport", "named" if "passaporte" in left[:3] else "not named"]))
     for m in _STREET.finditer(text):
@@ -218,7 +241,7 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
             f.append("date or measure")
         out.append((m.start(), m.end(), "endereco", f))
     seen = set()
-    for m in _INTRO.finditer(text):
+    for m in introductions(text):
         if (found := name_span(text, m.end())) and m.end() not in seen:
             seen.add(m.end())
             out.append((m.end(), found[0], "nome", ["intro", *name_features(text, m.end(), found, plain(m[1].split()[0]))]))
