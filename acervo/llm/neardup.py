@@ -3,15 +3,21 @@
 Texts are brought to the consistent form of problem 1, without case and accents, and cut into words.  Each of
 ``SKETCHES`` sketches of a text takes the ``TAKE`` least of its occurrence-labelled k-mers of ``K`` words and keeps them in
 text order: two texts meet in a bucket with a probability that falls with their edit distance, reordering included.
-K-mers that come once in ``COMMON`` texts, and ``AT_LEAST`` times, come last in every sketch, so set phrases don't fill buckets.
-
-Exact copies are first folded into one representative.  In a bucket every text is compared with the ``PIVOTS`` least ids;
-those that differ from them meet again without them until none is left, so no bucket emits all its pairs and none is cut.
+In these sketches k-mers that come once in ``COMMON`` texts, and ``AT_LEAST`` times, come last, so set phrases don't fill
+buckets.  ``WHOLE`` more sketches take ``WHOLE_TAKE`` k-mers whatever their number, so a large group, whose common k-mers
+are what makes it one, meets too: two texts of similarity 0.5 with a probability of 0.96, of 0.6 with 0.997.
+
+Exact copies are first folded into one representative, and k-mers are counted over these.  A bucket of up to ``SMALL``
+texts gives all its pairs.  In a larger one every text first gets the ``PIVOTS`` least ids that parity bitmaps of the sets
+of k-mers don't exclude (the bits in which two differ are at most the k-mers in which their sets do, so none that is similar
+is excluded); then all that are left of these whose texts the verified pairs have not connected.  No bucket is cut: what is
+not compared is dissimilar by the bound or in the same group already.
 Candidates are verified by banded alignment of their words; what the alignment leaves open (moved passages) is settled by
 the exact similarity of the sets of ``K``-word sequences.  Groups are the connected components.
 
 Sizes: what is broadcast are the common k-mers, of which there are at most ``COMMON`` times the mean number of k-mers in
-a text; everything else is joined.  Texts are read whole; one task holds a batch of texts or of pairs.
+a text; everything else is joined.  Texts are read whole; one task holds a batch of texts or of pairs, and the bitmaps of
+``HELD`` texts of a bucket.  A bucket's comparisons of bitmaps grow with the square of its texts.
 
 Defined cases: null, empty and blank texts, and those of less than ``K`` words, are in no group; repeated ids count as one;
 ties between equal k-mers go to the earlier one; other columns are ignored.
@@ -38,10 +44,14 @@ from .lookalike import ODD, mapped_form
 
 K, LIMIT = 3, 0.5
 SKETCHES, TAKE, COMMON, AT_LEAST = 20, 2, 5_000, 30
+WHOLE, WHOLE_TAKE = 24, 3
 SEGMENT = 20_000
 BAND = 24
-#: Texts of a bucket that all others of it are compared with at a time; ids that are broadcast at most.
-PIVOTS, BROADCAST = 8, 300_000
+#: Texts of a bucket that gives all its pairs; that a text is first compared with; whose bitmaps a task holds; ids that are
+#: broadcast at most.
+SMALL, PIVOTS, HELD, BROADCAST = 8, 8, 4_096, 300_000
+#: Bits of a parity bitmap.
+LEAST_BITS, MOST_BITS = 128, 1 << 15
 
 _ODD, _CHUNK = re.compile(ODD), re.compile(r"\S+")
 _MARKS = re.compile("[" + chr(0x300) + "-" + chr(0x36F) + "]")
@@ -115,14 +125,14 @@ def labelled(own: np.ndarray, text: np.ndarray) -> np.ndarray:
     return out
 
 
-_SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _M3)
+_SEEDS, _WHOLE_SEEDS = np.split(mix(np.arange(1, SKETCHES + WHOLE + 1, dtype=np.uint64) * _M3), [SKETCHES])
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def sketches(words: np.ndarray, ends: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of many texts, one a sketch, and the text of each; texts without k-mers have none.
 
-    A sketch takes the least k-mers one after the other by minima over each text, then combines them in text order.
+    In the first ``SKETCHES`` the k-mers of ``common`` come last; in the others all k-mers are equal.
     """
     own, text = kmers_of(words, ends)
     if not len(own):
@@ -133,27 +143,70 @@ def sketches(words: np.ndarray, ends: np.ndarray, common: np.ndarray) -> tuple[n
         late = common[np.minimum(at, len(common) - 1)] == own
     own = labelled(own, text)
     starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-    size = np.diff(np.append(starts, len(text)))
+    out = np.concatenate([drawn(own, starts, late, _SEEDS, TAKE), drawn(own, starts, None, _WHOLE_SEEDS, WHOLE_TAKE)])
+    return out, np.tile(text[starts], len(_SEEDS) + len(_WHOLE_SEEDS))
+
+
+def drawn(own: np.ndarray, starts: np.ndarray, late: np.ndarray | None, seeds: np.ndarray, take: int) -> np.ndarray:
+    """A bucket for each seed and text; the texts' labelled k-mers begin at ``starts``.
+
+    A sketch takes the least k-mers one after the other by minima over each text, then combines them in text order.
+    """
+    size = np.diff(np.append(starts, len(own)))
     which = np.repeat(np.arange(len(starts)), size)
-    out = np.empty((len(_SEEDS), len(starts)), np.uint64)
-    for j, seed in enumerate(_SEEDS):
+    out = np.empty((len(seeds), len(starts)), np.uint64)
+    for j, seed in enumerate(seeds):
         h = mix(own ^ seed) >> np.uint64(1)
-        h[late] |= _TOP
-        taken = np.empty((TAKE, len(starts)), np.int64)
-        for i in range(TAKE):
+        if late is not None:
+            h[late] |= _TOP
+        taken = np.empty((take, len(starts)), np.int64)
+        for i in range(take):
             least = np.minimum.reduceat(h, starts)
             hit = np.flatnonzero(h == least[which])
             taken[i] = hit[np.concatenate([[True], which[hit[1:]] != which[hit[:-1]]])]
             h[taken[i]] = _FULL
-        short = size < TAKE  # nothing is left to take: the last one again
-        for i in range(1, TAKE):
-            taken[i] = np.where(short & (i >= size), taken[i - 1], taken[i])
+        for i in range(1, take):  # nothing is left to take: the last one again
+            taken[i] = np.where(i >= size, taken[i - 1], taken[i])
         taken.sort(axis=0)
         b = np.full(len(starts), seed)
-        for i in range(TAKE):
+        for i in range(take):
             b = mix(b + own[taken[i]] * _M3)
         out[j] = b
-    return out.ravel(), np.tile(text[starts], len(_SEEDS))
+    return out.ravel()
+
+
+def bitmap(words: np.ndarray) -> tuple[int, bytes]:
+    """The size of a text's set of k-mers and its parity bitmap: twice as many bits or more, each the parity of its k-mers."""
+    own = np.unique(kmers(words))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(own) - 1).bit_length()))
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return len(own), np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Maps:
+    """Bitmaps of some texts, by their length and folded to half of it."""
+
+    def __init__(self, sizes: np.ndarray, maps: list[bytes]):
+        self.sizes, self.by = sizes, {}
+        long = np.array([len(m) for m in maps])
+        for n in np.unique(long).tolist():
+            at = np.flatnonzero(long == n)
+            full = np.frombuffer(b"".join(maps[i] for i in at), np.uint64).reshape(len(at), -1)
+            self.by[n] = at, full, full[:, : n // 16] ^ full[:, n // 16 :]
+
+    def may(self, other: Maps, limit: float = LIMIT) -> np.ndarray:
+        """Whether the sets of each text here and each of ``other`` may have the similarity ``limit``."""
+        out = np.zeros((len(self.sizes), len(other.sizes)), bool)
+        for n, (i, full, half) in self.by.items():
+            for m, (j, full2, half2) in other.by.items():  # at 0.5 sizes differ at most twofold, and so do lengths
+                if max(n, m) <= 2 * min(n, m):
+                    x, y = full if n <= m else half, full2 if m <= n else half2
+                    apart = np.zeros((len(i), len(j)), np.int64)
+                    for k in range(x.shape[1]):
+                        apart += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+                    both = self.sizes[i][:, None] + other.sizes[j][None, :]
+                    out[np.ix_(i, j)] = apart <= both * (1 - limit) / (1 + limit) + 1e-6
+        return out
 
 
 def banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int = BAND) -> np.ndarray:
@@ -199,42 +252,21 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], limit: float = LIMIT) ->
 
 
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``id``, ``palavras`` (numbers, as bytes), ``marca`` (their hash) of every text; and rows of ``comum``, ``n``: common k-mers."""
+    """``id``, ``palavras`` (numbers, as bytes), ``marca`` (their hash) of every text of ``K`` words or more."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, texts, id_type = Numbers(), [], 0, pa.int64()
-        names = ["id", "palavras", "marca", "comum", "n"]
-
-        def flush() -> pa.RecordBatch:
-            all_, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-            often = n >= max(3, texts / COMMON)
-            size = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(size, id_type), pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary()), pa.array(all_[often].astype(np.int64)), pa.array(n[often])], names=names)
-
+        number = Numbers()
         for part in batches:
-            id_type = part.column(0).type
             own = [[number[w] for w in words_of(t)] for t in part.column(1).to_pylist()]
             keep = [i for i, w in enumerate(own) if len(w) >= K]
-            ends = np.cumsum([0, *(len(own[i]) for i in keep)])
-            flat = np.array([n for i in keep for n in own[i]], np.int32)
-            raw = flat.tobytes()
-            raw = [raw[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)]
+            raw = [np.array(own[i], np.int32).tobytes() for i in keep]
             marks = [xxhash.xxh3_128_digest(x) for x in raw]
             ids = part.column(0).take(pa.array(keep, pa.int32()))
-            none = pa.nulls(len(keep), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(raw, pa.binary()), pa.array(marks, pa.binary()), none, none], names=names)
-            if keep:
-                held.append(kmers_of(flat, ends[1:])[0])
-            texts += len(keep)
-            if texts >= SEGMENT:
-                yield flush()
-                held, texts = [], 0
-        if texts:
-            yield flush()
+            yield pa.RecordBatch.from_arrays([ids, pa.array(raw, pa.binary()), pa.array(marks, pa.binary())], names=["id", "palavras", "marca"])
 
     rows = df.select(key, text).where(F.length(F.trim(F.col(text))) > 0)
-    return rows.mapInArrow(run, f"id {kind}, palavras binary, marca binary, comum long, n long")
+    return rows.mapInArrow(run, f"id {kind}, palavras binary, marca binary")
 
 
 def word_numbers(column: pa.Array) -> list[np.ndarray]:
@@ -242,10 +274,30 @@ def word_numbers(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.int32) for x in column.to_pylist()]
 
 
-def common_kmers(seen: DataFrame) -> np.ndarray:
+def common_kmers(words: DataFrame) -> np.ndarray:
     """K-mers that come once in ``COMMON`` texts or more, sorted: at most ``COMMON`` times the mean k-mers of a text."""
-    texts = seen.where("id IS NOT NULL").count()
-    often = seen.where("comum IS NOT NULL").groupBy("comum").agg(F.sum("n").alias("n")).where(F.col("n") >= max(AT_LEAST, texts // COMMON))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts = [], 0
+
+        def flush() -> pa.RecordBatch:
+            all_, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n >= max(3, texts / COMMON)
+            return pa.RecordBatch.from_arrays([pa.array(all_[often].astype(np.int64)), pa.array(n[often])], names=["comum", "n"])
+
+        for part in batches:
+            if part.num_rows:
+                lists = word_numbers(part.column(0))
+                held.append(kmers_of(np.concatenate(lists), np.cumsum([len(x) for x in lists]))[0])
+                texts += len(lists)
+            if texts >= SEGMENT:
+                yield flush()
+                held, texts = [], 0
+        if texts:
+            yield flush()
+
+    seen = words.select("palavras").mapInArrow(run, "comum long, n long").groupBy("comum").agg(F.sum("n").alias("n"))
+    often = seen.where(F.col("n") >= max(AT_LEAST, words.count() // COMMON))
     return np.sort(np.array([r.comum for r in often.select("comum").toLocalIterator()], np.int64).astype(np.uint64))
 
 
@@ -264,6 +316,86 @@ def buckets(spark: SparkSession, words: DataFrame, common: np.ndarray) -> DataFr
     return words.select("id", "palavras").mapInArrow(run, f"balde long, id {kind}")
 
 
+def runs(rows: DataFrame, by_run: object, schema: str) -> DataFrame:
+    """What ``by_run`` makes of each batch of whole buckets, whose rows come by ``id``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for part in batches:
+            if not part.num_rows:
+                continue
+            now = pa.Table.from_batches([part] if rest is None else [*rest.to_batches(), part])
+            key = now.column("balde").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            rest = now.slice(last)
+            if last:
+                yield from by_run(now.slice(0, last).combine_chunks())
+        if rest is not None:
+            yield from by_run(rest.combine_chunks())
+
+    return rows.repartition("balde").sortWithinPartitions("balde", "id").mapInArrow(run, schema)
+
+
+def meetings(buckets: DataFrame) -> DataFrame:
+    """``a``, ``b``: the pairs of buckets of up to ``SMALL`` texts; ``balde``, ``a``: the texts of larger ones."""
+    kind = buckets.schema["id"].dataType.simpleString()
+
+    def by_run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, ids = rows.column("balde").to_numpy(), rows.column("id").combine_chunks()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.repeat(*[np.diff(np.append(first, len(key)))] * 2)
+        left, right = [], []
+        for d in range(1, SMALL):
+            at = np.flatnonzero((key[d:] == key[:-d]) & (size[d:] <= SMALL))
+            left.append(at)
+            right.append(at + d)
+        a, b, hot = np.concatenate(left), np.concatenate(right), np.flatnonzero(size > SMALL)
+        none = pa.nulls(len(a), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, ids.take(pa.array(a)), ids.take(pa.array(b))], names=["balde", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[hot]), ids.take(pa.array(hot)), pa.nulls(len(hot), ids.type)], names=["balde", "a", "b"])
+
+    return runs(buckets.select("balde", "id"), by_run, f"balde long, a {kind}, b {kind}")
+
+
+def bitmaps(words: DataFrame) -> DataFrame:
+    """``id``, ``n``, ``mapa`` of every text."""
+    kind = words.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            own = [bitmap(w) for w in word_numbers(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in own], pa.int32()), pa.array([m for _, m in own], pa.binary())], names=["id", "n", "mapa"])
+
+    return words.select("id", "palavras").mapInArrow(run, f"id {kind}, n int, mapa binary")
+
+
+def hot_pairs(rows: DataFrame, most: int | None, limit: float = LIMIT) -> DataFrame:
+    """``a``, ``b``: of the first ``HELD`` texts of a bucket those that may be similar to a later one and have another ``grupo``.
+
+    ``rows`` has ``balde``, ``id``, ``n``, ``mapa``, ``grupo``; a text gets the ``most`` least ids of these, or all.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def by_run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, ids, maps = rows.column("balde").to_numpy(), rows.column("id").combine_chunks(), rows.column("mapa")
+        size, group = rows.column("n").to_numpy(), rows.column("grupo").combine_chunks().dictionary_encode().indices.to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        for s, e in zip(first, first[1:], strict=False):
+            end = min(e, s + HELD)
+            head = Maps(size[s:end], maps.slice(s, end - s).to_pylist())
+            for at in range(s, e, 1_000):
+                to = min(e, at + 1_000)
+                ok = Maps(size[at:to], maps.slice(at, to - at).to_pylist()).may(head, limit)
+                ok &= np.arange(at, to)[:, None] > np.arange(s, end)[None, :]
+                ok &= group[at:to][:, None] != group[s:end][None, :]
+                if most is not None:
+                    ok &= np.cumsum(ok, axis=1) <= most
+                b, a = np.nonzero(ok)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + s)), ids.take(pa.array(b + at))], names=["a", "b"])
+
+    return runs(rows.select("balde", "id", "n", "mapa", "grupo"), by_run, f"a {kind}, b {kind}").distinct()
+
+
 def verify(pairs: DataFrame, words: DataFrame, limit: float = LIMIT) -> DataFrame:
     """``a``, ``b``, ``ok``, ``alinhadas`` of pairs of ids."""
     kind = pairs.schema["a"].dataType.simpleString()
@@ -287,32 +419,31 @@ def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def groups(spark: SparkSession, df: DataFrame, key: str = "id", text: str = "texto") -> DataFrame:
     """``id`` and ``grupo`` (the least id of the group) of every record that is in a group of two or more."""
     work = Workspace(spark, "neardup")
-    seen = work.save(tokens(df, key, text), "tokens")
-    texts = seen.where("id IS NOT NULL")
+    texts = work.save(tokens(df, key, text), "tokens")
     copies = texts.groupBy("marca").agg(F.min("id").alias("grupo"), F.count("*").alias("n")).where("n > 1")
     copies = work.save(texts.select("id", "marca").join(copies, "marca").select("id", "grupo").distinct(), "copies")
     words = texts.join(copies.where("id <> grupo"), "id", "left_anti").select("id", "palavras")
-    meet = work.save(buckets(spark, words, common_kmers(seen)), "buckets")
-    shared = meet.groupBy("balde").agg(F.count("*").alias("c")).where("c > 1").select("balde")
-    meet = work.save(meet.join(shared, "balde"), "met")
-    words = work.save(only(words, meet.select("id").distinct()), "words")
-    told, step = None, 0
-    while True:
-        order = W.partitionBy("balde").orderBy("id")
-        pivots = meet.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).select("balde", F.col("id").alias("a"))
-        spokes = work.save(meet.join(pivots, "balde").where("id > a").select("balde", "a", F.col("id").alias("b")), f"spokes{step}")
-        if spokes.isEmpty():
-            break
-        pairs = spokes.select("a", "b").distinct()
-        pairs = pairs if told is None else pairs.join(told, ["a", "b"], "left_anti")
-        new = work.save(verify(pairs, words), f"told{step}").select("a", "b", "ok")
-        told = new if told is None else told.union(new)
-        done = spokes.join(told.where("ok"), ["a", "b"], "left_semi").select("balde", F.col("b").alias("id"))
-        done = done.union(spokes.select("balde", F.col("a").alias("id"))).distinct()
-        meet = work.save(meet.join(done, ["balde", "id"], "left_anti"), f"rest{step}")
+    meet = work.save(meetings(buckets(spark, words, common_kmers(words))), "met")
+    hot = meet.where("balde IS NOT NULL").select("balde", F.col("a").alias("id"))
+    ids = meet.select(F.explode(F.array("a", "b")).alias("id")).where("id IS NOT NULL").distinct()
+    words = work.save(only(words, ids), "words")
+    maps = work.save(bitmaps(only(words, hot.select("id").distinct())), "maps")
+    first = hot.join(maps, "id").withColumn("grupo", F.col("id"))
+    pairs = meet.where("a <> b").select("a", "b").union(hot_pairs(first, PIVOTS)).distinct()
+    told = work.save(verify(pairs, words), "told").select("a", "b", "ok")
+    # what the first pairs have not connected: all pairs of the first HELD texts of each bucket, then without these
+    joined = components(told.where("ok"), Workspace(spark, "neardup")).select(F.col("no").alias("id"), "grupo")
+    rest = hot.join(joined, "id", "left").withColumn("grupo", F.coalesce("grupo", "id"))
+    apart = rest.groupBy("balde").agg(F.min("grupo").alias("x"), F.max("grupo").alias("y")).where("x <> y").select("balde")
+    rest, step = work.save(rest.join(apart, "balde"), "rest"), 0
+    while not rest.isEmpty():
+        pairs = hot_pairs(rest.join(maps, "id"), None).join(told, ["a", "b"], "left_anti")
+        told = told.union(work.save(verify(pairs, words), f"told{step}").select("a", "b", "ok"))
+        at = F.row_number().over(W.partitionBy("balde").orderBy("id"))
+        rest = work.save(rest.withColumn("r", at).where(F.col("r") > HELD).drop("r"), f"rest{step}")
         step += 1
     edges = copies.where("id <> grupo").select(F.col("grupo").alias("a"), F.col("id").alias("b"))
-    edges = edges if told is None else edges.union(told.where("ok").select("a", "b"))
+    edges = edges.union(told.where("ok").select("a", "b"))
     return components(edges, work).select(F.col("no").alias("id"), "grupo")
 
 

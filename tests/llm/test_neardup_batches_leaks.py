@@ -163,3 +163,41 @@ def test_leaks_against_all_windows(spark):
         assert {(r.doc_id, r.item_id) for r in leaks.leaks(spark, corpus, held).collect()} == want
     finally:
         leaks.BROADCAST = before
+
+
+def test_large_groups_of_near_copies_and_of_copies(spark):
+    rng = random.Random(6)
+    base, other, many = [_text(rng, 100).split() for _ in range(3)]
+    rows = []
+    for own, k in ((base, 60), (many, 3)):  # each with one word changed
+        for at in rng.sample(range(5, 95), k):
+            rows.append(" ".join([*own[:at], f"outra{at}", *own[at + 1 :]]))
+    rows += [" ".join(many)] * (neardup.AT_LEAST + 10) + [" ".join(other)]
+    got = {(r.id_a, r.id_b) for r in neardup.found(spark, spark.createDataFrame([*enumerate(rows)], "id long, texto string")).collect()}
+    assert got == _groups([*enumerate(rows)])
+
+
+def test_a_bucket_is_compared_whole(spark, monkeypatch):
+    # all texts in one bucket: chains whose ends differ, behind more dissimilar texts than pivots
+    monkeypatch.setattr(neardup, "meetings", lambda b: b.select(F.lit(1).cast("long").alias("balde"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b")).distinct())
+    rng, rows = random.Random(7), []
+    for _ in range(12):
+        rows.append(_text(rng, 120))
+        for _ in range(rng.randint(0, 5)):
+            words = rows[-1].split()
+            rows.append(" ".join([*words[25:], *_text(rng, 25).split()]))
+    rng.shuffle(rows)
+    df = spark.createDataFrame([*enumerate(rows)], "id long, texto string")
+    for held in (neardup.HELD, 10):
+        monkeypatch.setattr(neardup, "HELD", held)
+        assert {(r.id_a, r.id_b) for r in neardup.found(spark, df).collect()} == _groups([*enumerate(rows)])
+
+
+def test_bitmaps_exclude_no_similar_pair():
+    rng = random.Random(8)
+    texts = [np.array([rng.randrange(9) for _ in range(rng.randint(3, 400))], np.int32) for _ in range(40)]
+    texts += [np.concatenate([t[: rng.randint(3, len(t))], t[:9]]) for t in texts]
+    own = [set(neardup.kmers(t).tolist()) for t in texts]
+    maps = neardup.Maps(np.array([len(s) for s in own]), [neardup.bitmap(t)[1] for t in texts])
+    may = maps.may(maps)
+    assert all(may[i, j] for i, a in enumerate(own) for j, b in enumerate(own) if _like(a, b))
