@@ -89,8 +89,9 @@ _INTRO = re.compile(
     r"representad[oa]\s+por|senhor[a]?|procurador[a]?:|vendedor[a]?:|comprador[a]?:|eu,)\s+(?=[^\W\d_])",
     re.IGNORECASE,
 )
-#: What every introduction begins with: it is looked for only where one of these stands.
-_STARTS = "assinad|em nome|em\\nnome|a pedido|a\\npedido|atend|respons|titular|client|sr|dr|pagador|benef|favorecid|contratante:|locat|locador|paciente|alun|portador|nome:|combinado|recebi|representad|senhor|procurador|vendedor|comprador|eu,".split("|")
+#: What every introduction begins with: it is looked for only where one of these stands, or one of two words and any space.
+_TWO_WORDS = re.compile(r"em\s+nome|a\s+pedido")
+_STARTS = "assinad|atend|respons|titular|client|sr|dr|pagador|benef|favorecid|contratante:|locat|locador|paciente|alun|portador|nome:|combinado|recebi|representad|senhor|procurador|vendedor|comprador|eu,".split("|")
 _NAME_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _GAP = re.compile(r"[ \t]*\n?[ \t]*(?=[^\W\d_])|,\s+(?=[^\W\d_])")
 _LONG_WORD = re.compile(r"[^\W\d_]{3,}")
@@ -199,6 +200,7 @@ def introductions(text: str) -> list[re.Match]:
         while at >= 0:
             spots.add(at)
             at = small.find(word, at + 1)
+    spots.update(m.start() for m in _TWO_WORDS.finditer(small))
     last = 0
     for at in sorted(spots):
         if at >= last and (m := _INTRO.match(text, at)):

@@ -138,3 +138,10 @@ def test_areas_held_out(spark):
     assert not {5000, 5001, 5002} & set(got)
     assert areas.classify(spark, corpus, given.where("false"), names).collect() == []
     assert areas.classify(spark, corpus.where("false"), given, names).collect() == []
+
+
+@pytest.mark.parametrize("space", [" ", "  ", "\n", " \n ", "\t", "\r\n"])
+def test_introductions_over_any_space(space):
+    text = f"Recibo emitido em{space}nome de Falvedo Quirino, a{space}pedido de Paulo, A{space}PEDIDO DE Ana; assinado{space}por Rui, eu,{space}Zuleica, sra.{space}Brandina"
+    assert [m.span() for m in personal.introductions(text)] == [m.span() for m in personal._INTRO.finditer(text)] != []
+    assert len(personal.introductions(text)) == 6
