@@ -8,8 +8,8 @@ three-word sequences.  What a batch has accepted is appended as its hashes.
 
 Of a row's paragraphs those are looked up that the fewest history rows hold, all but a tenth of its words, so set phrases
 are looked up only where they are the text.  A history row is a candidate if what it shares of these, and all of the
-tenth, may reach ``COVERAGE``: no row that shares so much is lost.  Rows of a batch that
-are the same text are one class, so a group of copies costs one lookup and no pairs.
+tenth, may reach ``COVERAGE``: no row that shares so much is lost.  A row of the same words is refused by the hash of its
+text.  Rows of a batch that are the same text are one class, so a group of copies costs one lookup and no pairs.
 
 Defined cases: rows with an error are neither cases nor accepted; null hashes equal nothing; null, empty and blank texts,
 and those under three words, are compared by hash only; the first row of equal ones in arrival order is the one that may
@@ -41,17 +41,30 @@ _PARAGRAPH = re.compile(r"[.;:!?…]+(?:\s|$)|\n\s*\n")
 _FIELD = re.compile(r"(?<=\d)\s+(?=[A-ZÀ-Ý])")
 
 
+def unit(words: list[int]) -> int:
+    """The hash of some words."""
+    return xxhash.xxh3_64_intdigest(np.array(words, np.int32).tobytes()) - (1 << 63)
+
+
 def paragraphs(text: str, number: Numbers) -> tuple[list[int], list[int], list[int]]:
-    """Numbers of all words; hashes and sizes of the sentences and of their parts, of ``LEAST_WORDS`` words or more."""
+    """Numbers of all words; hashes and sizes of the sentences and of their parts, of ``LEAST_WORDS`` words or more.
+
+    Where these hold less than half of the words, as in forms, the shorter ones count too, and the whole text.
+    """
     words: list[int] = []
     units: dict[int, int] = {}
+    short: dict[int, int] = {}
+    covered = 0
     for sentence in _PARAGRAPH.split(consistent(text)):
         parts = [[number[w] for w in words_of(p)] for p in _FIELD.split(sentence)]
         whole = [n for p in parts for n in p]
         words += whole
+        covered += len(whole) if len(whole) >= LEAST_WORDS else 0
         for own in [whole, *parts] if len(parts) > 1 else parts:
-            if len(own) >= LEAST_WORDS:
-                units[xxhash.xxh3_64_intdigest(np.array(own, np.int32).tobytes()) - (1 << 63)] = len(own)
+            if own:
+                (units if len(own) >= LEAST_WORDS else short)[unit(own)] = len(own)
+    if 2 * covered < len(words):
+        units |= short | {unit(words): len(words)}
     return words, list(units), list(units.values())
 
 
@@ -94,6 +107,7 @@ class History:
         """
         first = rows.where("marca IS NOT NULL").groupBy("marca").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("primeira"))
         rows = rows.join(first, "id", "left").withColumn("paragrafos", F.when(F.col("primeira"), F.col("paragrafos")).otherwise(F.array()))
+        rows = rows.withColumn("marca", F.when(F.col("primeira"), F.col("marca")))
         self._add(keys(rows), "keys", "chave")
         self._add(rows.where("primeira").select("id", "palavras"), "words", "id")
 
@@ -114,10 +128,16 @@ class History:
 
 
 def keys(rows: DataFrame) -> DataFrame:
-    """``chave``, ``id``, ``hash``: one row for the file's hash (``hash`` set), one for each paragraph."""
+    """``chave``, ``id``, ``hash``, ``marca``: one row for the file's hash (``hash`` set), one for the text's (``marca`` set), one for each paragraph."""
+
+    def key(chave, digest=None, mark=None):
+        none = F.lit(None).cast("string")
+        return F.struct(chave.alias("chave"), (none if digest is None else digest).alias("hash"), (none if mark is None else mark).alias("marca"))
+
     file = F.when(F.col("hash").isNotNull(), F.array(F.xxhash64("hash"))).otherwise(F.array())
-    each = F.concat(F.transform(file, lambda k: F.struct(k.alias("chave"), F.col("hash").alias("hash"))), F.transform("paragrafos", lambda k: F.struct(k.alias("chave"), F.lit(None).cast("string").alias("hash"))))
-    return rows.select("id", F.explode(each).alias("x")).select("x.chave", "id", "x.hash")
+    text = F.when(F.col("marca").isNotNull(), F.array(F.xxhash64("marca"))).otherwise(F.array())
+    each = F.concat(F.transform(file, lambda k: key(k, digest=F.col("hash"))), F.transform(text, lambda k: key(k, mark=F.col("marca"))), F.transform("paragrafos", lambda k: key(k)))
+    return rows.select("id", F.explode(each).alias("x")).select("x.chave", "id", "x.hash", "x.marca")
 
 
 def _candidates(classes: DataFrame, held: DataFrame) -> DataFrame:
@@ -153,7 +173,7 @@ def check(history: History, batch: DataFrame, step: str, limit: float = 0.5) ->
     told = work.save(told.join(first, "classe", "left"), f"{step}-told")
     classes = told.where("exata IS NULL AND id = primeira")
     texts = classes.where("marca IS NOT NULL")
-    both = held.where("hash IS NULL").select("chave", "id").union(texts.select(F.explode("paragrafos").alias("chave"), "id"))
+    both = held.where("hash IS NULL AND marca IS NULL").select("chave", "id").union(texts.select(F.explode("paragrafos").alias("chave"), "id"))
     pairs = _candidates(texts, both).join(texts.select(F.col("id").alias("a"), F.lit(True).alias("dentro")), "a", "left")
     pairs = pairs.withColumn("dentro", F.coalesce("dentro", F.lit(False)))
     # two rows of the batch: the earlier one is a, whichever found the other
@@ -166,7 +186,8 @@ def check(history: History, batch: DataFrame, step: str, limit: float = 0.5) ->
     edges = like.where("dentro").select("a", "b")
 
     # a class is accepted unless it resembles the history or an accepted class before it; decided from the first on
-    refused, k = like.where("NOT dentro").select(F.col("b").alias("id")).distinct(), 0
+    same = texts.join(held.where("marca IS NOT NULL").select("marca"), "marca", "left_semi").select("id")
+    refused, k = work.save(like.where("NOT dentro").select(F.col("b").alias("id")).union(same).distinct(), f"{step}-same"), 0
     while True:
         live = edges.join(refused.select(F.col("id").alias("a")), "a", "left_anti").join(refused.select(F.col("id").alias("b")), "b", "left_anti")
         live = work.save(live, f"{step}-live{k}")

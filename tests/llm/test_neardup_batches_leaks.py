@@ -201,3 +201,15 @@ def test_bitmaps_exclude_no_similar_pair():
     maps = neardup.Maps(np.array([len(s) for s in own]), [neardup.bitmap(t)[1] for t in texts])
     may = maps.may(maps)
     assert all(may[i, j] for i, a in enumerate(own) for j, b in enumerate(own) if _like(a, b))
+
+
+def test_batches_of_texts_without_long_sentences(spark):
+    form = "Nome: Rita. Cidade: Bom Retiro. Valor: cem reais. Uso: casa. Pago: sim. Data: ontem. Fim."
+    long = "uma frase com mais de cinco palavras que vem inteira outra frase que tem mais de cinco palavras"
+    documents = [(1, "d1", "dois tres quatro"), (2, "d2", form), (3, "d3", long)]
+    inbox = [(1, 1, None, "dois tres quatro", None), (2, 1, "e2", form.replace("casa", "loja"), None), (3, 1, None, long.replace(" que", ". que"), None)]
+    inbox += [(4, 1, None, "cinco seis sete", None), (5, 2, "e5", "Cinco, seis. Sete!", None), (6, 2, None, "oito. nove. dez. onze", None)]
+    docs = spark.createDataFrame(documents, "id long, hash string, texto string")
+    box = spark.createDataFrame(inbox, "entrada_id long, lote int, hash string, texto string, erro string")
+    got = {r.entrada_id: r.tipo for r in batches.found(spark, docs, box, spark.createDataFrame([(1,), (2,)], "lote int")).collect()}
+    assert got == _accept(documents, inbox) == {1: "quase", 2: "quase", 3: "quase", 5: "quase"}
