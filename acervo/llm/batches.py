@@ -8,7 +8,8 @@ three-word sequences.  What a batch has accepted is appended as its hashes.
 
 Of a row's paragraphs those are looked up that the fewest history rows hold, all but a tenth of its words, so set phrases
 are looked up only where they are the text.  A history row is a candidate if what it shares of these, and all of the
-tenth, may reach ``COVERAGE``: no row that shares so much is lost.  A row of the same words is refused by the hash of its
+tenth, may reach ``COVERAGE``: no row that shares so much is lost, but one that
+is similar and shares less in whole sentences is.  A row of the same words is refused by the hash of its
 text.  Rows of a batch that are the same text are one class, so a group of copies costs one lookup and no pairs.
 
 Defined cases: rows with an error are neither cases nor accepted; null hashes equal nothing; null, empty and blank texts,
