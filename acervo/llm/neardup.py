@@ -3,15 +3,17 @@
 Texts are brought to the consistent form of problem 1, without case and accents, and cut into words.  Each of
 ``SKETCHES`` sketches of a text takes the ``TAKE`` least of its occurrence-labelled k-mers of ``K`` words and keeps them in
 text order: two texts meet in a bucket with a probability that falls with their edit distance, reordering included.
-In these sketches k-mers that come once in ``COMMON`` texts, and ``AT_LEAST`` times, come last, so set phrases don't fill
-buckets.  ``WHOLE`` more sketches take ``WHOLE_TAKE`` k-mers whatever their number, so a large group, whose common k-mers
-are what makes it one, meets too: two texts of similarity 0.5 with a probability of 0.96, of 0.6 with 0.997.
-
-Exact copies are first folded into one representative, and k-mers are counted over these.  A bucket of up to ``SMALL``
-texts gives all its pairs.  In a larger one every text first gets the ``PIVOTS`` least ids that parity bitmaps of the sets
-of k-mers don't exclude (the bits in which two differ are at most the k-mers in which their sets do, so none that is similar
-is excluded); then all that are left of these whose texts the verified pairs have not connected.  No bucket is cut: what is
-not compared is dissimilar by the bound or in the same group already.
+These sketches pass over k-mers that come once in ``COMMON`` texts, and ``AT_LEAST`` times, so set phrases don't fill
+buckets; texts that hold fewer others than a sketch takes use all.  ``WHOLE`` more sketches take ``WHOLE_TAKE`` k-mers of
+all the rare ones and of every ``THIN``-th common one (by hash), so a large group, whose common k-mers are what makes it
+one, meets too.
+
+Exact copies are first folded into one representative, and k-mers are counted over these, in two passes that give the exact
+common ones however the texts are split.  A bucket of up to ``SMALL`` texts gives all its pairs.  In a larger one every text
+first gets the ``PIVOTS`` least ids that are not excluded; then all that are left of these whose texts the verified pairs
+have not connected.  Every pair has to pass parity bitmaps of the sets of k-mers (the bits in which two differ are at most
+the k-mers in which their sets do, so none that is similar is excluded).  No bucket is cut: what is not compared is
+dissimilar by the bound or in the same group already.
 Candidates are verified by banded alignment of their words; what the alignment leaves open (moved passages) is settled by
 the exact similarity of the sets of ``K``-word sequences.  Groups are the connected components.
 
@@ -44,7 +46,7 @@ from .lookalike import ODD, mapped_form
 
 K, LIMIT = 3, 0.5
 SKETCHES, TAKE, COMMON, AT_LEAST = 20, 2, 5_000, 30
-WHOLE, WHOLE_TAKE = 24, 3
+WHOLE, WHOLE_TAKE, THIN = 16, 3, 8
 SEGMENT = 20_000
 BAND = 24
 #: Texts of a bucket that gives all its pairs; that a text is first compared with; whose bitmaps a task holds; ids that are
@@ -129,10 +131,10 @@ _SEEDS, _WHOLE_SEEDS = np.split(mix(np.arange(1, SKETCHES + WHOLE + 1, dtype=np.
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def sketches(words: np.ndarray, ends: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sketches(words: np.ndarray, ends: np.ndarray, common: np.ndarray, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of many texts, one a sketch, and the text of each; texts without k-mers have none.
 
-    In the first ``SKETCHES`` the k-mers of ``common`` come last; in the others all k-mers are equal.
+    The first ``SKETCHES`` pass over the k-mers of ``common``; the others, made if ``whole``, take a ``THIN``-th of them.
     """
     own, text = kmers_of(words, ends)
     if not len(own):
@@ -141,24 +143,29 @@ def sketches(words: np.ndarray, ends: np.ndarray, common: np.ndarray) -> tuple[n
     if len(common):
         at = np.searchsorted(common, own)
         late = common[np.minimum(at, len(common) - 1)] == own
+    thin = late & (mix(own ^ _M2) % np.uint64(THIN) > 0)
     own = labelled(own, text)
-    starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-    out = np.concatenate([drawn(own, starts, late, _SEEDS, TAKE), drawn(own, starts, None, _WHOLE_SEEDS, WHOLE_TAKE)])
-    return out, np.tile(text[starts], len(_SEEDS) + len(_WHOLE_SEEDS))
+    parts = [drawn(own, text, late, _SEEDS, TAKE)]
+    if whole:
+        parts.append(drawn(own, text, thin, _WHOLE_SEEDS, WHOLE_TAKE))
+    return np.concatenate([b for b, _ in parts]), np.concatenate([t for _, t in parts])
 
 
-def drawn(own: np.ndarray, starts: np.ndarray, late: np.ndarray | None, seeds: np.ndarray, take: int) -> np.ndarray:
-    """A bucket for each seed and text; the texts' labelled k-mers begin at ``starts``.
+def drawn(own: np.ndarray, text: np.ndarray, late: np.ndarray, seeds: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket for each seed and text, and the text; of labelled k-mers without the ``late`` ones, which fill up short texts.
 
     A sketch takes the least k-mers one after the other by minima over each text, then combines them in text order.
     """
+    few = np.bincount(text, weights=~late) < take
+    keep = ~late | few[text]
+    own, text, late = own[keep], text[keep], late[keep]
+    starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
     size = np.diff(np.append(starts, len(own)))
     which = np.repeat(np.arange(len(starts)), size)
     out = np.empty((len(seeds), len(starts)), np.uint64)
     for j, seed in enumerate(seeds):
         h = mix(own ^ seed) >> np.uint64(1)
-        if late is not None:
-            h[late] |= _TOP
+        h[late] |= _TOP
         taken = np.empty((take, len(starts)), np.int64)
         for i in range(take):
             least = np.minimum.reduceat(h, starts)
@@ -172,7 +179,7 @@ def drawn(own: np.ndarray, starts: np.ndarray, late: np.ndarray | None, seeds: n
         for i in range(take):
             b = mix(b + own[taken[i]] * _M3)
         out[j] = b
-    return out.ravel()
+    return out.ravel(), np.tile(text[starts], len(seeds))
 
 
 def bitmap(words: np.ndarray) -> tuple[int, bytes]:
@@ -214,14 +221,16 @@ def banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int = BAND) -> np.n
     n = np.array([len(a) for a, _ in pairs])
     rows, wide = int(n.max()), 2 * band + 1
     cols = max(len(b) for _, b in pairs)
-    left = np.full((len(pairs), rows), 1 << 40, np.int64)
-    right = np.full((len(pairs), max(rows, cols) + 2 * wide), 1 << 41, np.int64)
+    left = np.zeros((len(pairs), rows), np.int32)
+    right = np.zeros((len(pairs), max(rows, cols) + 2 * wide), np.int32)
+    inside = np.zeros(right.shape, bool)
     for i, (a, b) in enumerate(pairs):
         left[i, : len(a)] = a
         right[i, band : band + len(b)] = b
+        inside[i, band : band + len(b)] = True
     best = np.zeros((len(pairs), wide + 1), np.int32)
     for i in range(rows):
-        same = right[:, i : i + wide] == left[:, i, None]
+        same = (right[:, i : i + wide] == left[:, i, None]) & inside[:, i : i + wide] & (i < n)[:, None]
         step = np.maximum(best[:, :-1] + same, best[:, 1:])
         best[:, :-1] = np.maximum.accumulate(step, axis=1)
         best[:, -1] = best[:, -2]
@@ -274,34 +283,51 @@ def word_numbers(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.int32) for x in column.to_pylist()]
 
 
-def common_kmers(words: DataFrame) -> np.ndarray:
-    """K-mers that come once in ``COMMON`` texts or more, sorted: at most ``COMMON`` times the mean k-mers of a text."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, texts = [], 0
+def common_kmers(words: DataFrame, count: int | None = None) -> np.ndarray:
+    """K-mers that come once in ``COMMON`` texts or more, sorted: at most ``COMMON`` times the mean k-mers of a text.
 
-        def flush() -> pa.RecordBatch:
-            all_, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(3, texts / COMMON)
-            return pa.RecordBatch.from_arrays([pa.array(all_[often].astype(np.int64)), pa.array(n[often])], names=["comum", "n"])
+    One that is common over all texts is as common in some part of them: a first pass collects what any part of up to
+    ``SEGMENT`` texts finds common, a second counts these over all texts.  How texts are split changes nothing.
+    """
+    texts = words.count() if count is None else count
+    least = max(AT_LEAST, -(-texts // COMMON))
 
+    def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+        held, n = [], 0
         for part in batches:
-            if part.num_rows:
-                lists = word_numbers(part.column(0))
+            for at in range(0, part.num_rows, SEGMENT):
+                lists = word_numbers(part.column(0).slice(at, SEGMENT))
                 held.append(kmers_of(np.concatenate(lists), np.cumsum([len(x) for x in lists]))[0])
-                texts += len(lists)
-            if texts >= SEGMENT:
-                yield flush()
-                held, texts = [], 0
-        if texts:
-            yield flush()
-
-    seen = words.select("palavras").mapInArrow(run, "comum long, n long").groupBy("comum").agg(F.sum("n").alias("n"))
-    often = seen.where(F.col("n") >= max(AT_LEAST, words.count() // COMMON))
-    return np.sort(np.array([r.comum for r in often.select("comum").toLocalIterator()], np.int64).astype(np.uint64))
-
-
-def buckets(spark: SparkSession, words: DataFrame, common: np.ndarray) -> DataFrame:
+                n += len(lists)
+                if n >= SEGMENT:
+                    yield np.concatenate(held), n
+                    held, n = [], 0
+        if n:
+            yield np.concatenate(held), n
+
+    def nominate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, n in parts(batches):
+            all_, times = np.unique(own, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(all_[times * texts >= least * n].astype(np.int64))], names=["comum"])
+
+    def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        total = np.zeros(len(known), np.int64)
+        for own, _ in parts(batches):
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            total += np.bincount(at[known[at] == own], minlength=len(known))
+        yield pa.RecordBatch.from_arrays([pa.array(known.astype(np.int64)), pa.array(total)], names=["comum", "n"])
+
+    named = words.select("palavras").mapInArrow(nominate, "comum long").distinct()
+    known = np.sort(np.array([r.comum for r in named.toLocalIterator()], np.int64).astype(np.uint64))
+    if not len(known):
+        return known
+    shared = words.sparkSession.sparkContext.broadcast(known)
+    seen = words.select("palavras").mapInArrow(counts, "comum long, n long").groupBy("comum").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r.comum for r in seen.where(F.col("n") >= least).select("comum").toLocalIterator()], np.int64).astype(np.uint64))
+
+
+def buckets(spark: SparkSession, words: DataFrame, common: np.ndarray, whole: bool = True) -> DataFrame:
     """``balde`` and ``id``: the buckets of every text."""
     shared, kind = spark.sparkContext.broadcast(common), words.schema["id"].dataType.simpleString()
 
@@ -310,7 +336,7 @@ def buckets(spark: SparkSession, words: DataFrame, common: np.ndarray) -> DataFr
             for at in range(0, rows.num_rows, 2_000):
                 part = rows.slice(at, 2_000)
                 lists = word_numbers(part.column(1))
-                own, text = sketches(np.concatenate(lists), np.cumsum([len(x) for x in lists]), shared.value)
+                own, text = sketches(np.concatenate(lists), np.cumsum([len(x) for x in lists]), shared.value, whole)
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), part.column(0).take(pa.array(text))], names=["balde", "id"])
 
     return words.select("id", "palavras").mapInArrow(run, f"balde long, id {kind}")
@@ -396,6 +422,34 @@ def hot_pairs(rows: DataFrame, most: int | None, limit: float = LIMIT) -> DataFr
     return runs(rows.select("balde", "id", "n", "mapa", "grupo"), by_run, f"a {kind}, b {kind}").distinct()
 
 
+def possible(pairs: DataFrame, maps: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """The pairs ``a``, ``b`` whose parity bitmaps allow the similarity ``limit``."""
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            keep = []
+            for i, (n, m, x, y) in enumerate(zip(*(part.column(c).to_pylist() for c in range(2, 6)), strict=True)):
+                wide = min(len(x), len(y))
+                u, v = folded(x, wide), folded(y, wide)
+                keep.append((u ^ v).bit_count() <= (n + m) * (1 - limit) / (1 + limit) + 1e-6)
+            yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    for c in ("a", "b"):
+        pairs = pairs.join(maps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("mapa").alias(f"m{c}")), c)
+    return pairs.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def folded(bits: bytes, wide: int) -> int:
+    """A bitmap as a number, folded to ``wide`` bytes."""
+    out = int.from_bytes(bits, "little")
+    size = len(bits)
+    while size > wide:
+        size //= 2
+        out = (out >> 8 * size) ^ (out & ((1 << 8 * size) - 1))
+    return out
+
+
 def verify(pairs: DataFrame, words: DataFrame, limit: float = LIMIT) -> DataFrame:
     """``a``, ``b``, ``ok``, ``alinhadas`` of pairs of ids."""
     kind = pairs.schema["a"].dataType.simpleString()
@@ -427,9 +481,9 @@ def groups(spark: SparkSession, df: DataFrame, key: str = "id", text: str = "tex
     hot = meet.where("balde IS NOT NULL").select("balde", F.col("a").alias("id"))
     ids = meet.select(F.explode(F.array("a", "b")).alias("id")).where("id IS NOT NULL").distinct()
     words = work.save(only(words, ids), "words")
-    maps = work.save(bitmaps(only(words, hot.select("id").distinct())), "maps")
+    maps = work.save(bitmaps(words), "maps")
     first = hot.join(maps, "id").withColumn("grupo", F.col("id"))
-    pairs = meet.where("a <> b").select("a", "b").union(hot_pairs(first, PIVOTS)).distinct()
+    pairs = possible(meet.where("a <> b").select("a", "b").distinct(), maps).union(hot_pairs(first, PIVOTS)).distinct()
     told = work.save(verify(pairs, words), "told").select("a", "b", "ok")
     # what the first pairs have not connected: all pairs of the first HELD texts of each bucket, then without these
     joined = components(told.where("ok"), Workspace(spark, "neardup")).select(F.col("no").alias("id"), "grupo")
