@@ -1,25 +1,30 @@
 """Problem 4: new batches against all history, by hashes in bucketed tables.
 
 The index holds, for every accepted row, the hash of its file, the hash of its normalised text, the hashes of its
-paragraphs and its words as numbers; never the texts.  Its tables are bucketed by what they are joined on, so a batch is
-shuffled to the buckets and the history is not: a semi-join finds full copies, and shared paragraphs, weighed by their
-words, give the coverage that makes a pair a candidate.  A candidate is checked exactly by the similarity of its sets of
-three-word sequences.  What a batch has accepted is appended as its hashes.
+paragraphs and, for texts edited in every paragraph, some ordered sketches (``SKETCHES``); beside these its words as numbers,
+never the texts.  Its tables are bucketed by what they are joined on, so the rows to check are shuffled to the
+buckets and the history is not: a semi-join finds full copies, and shared paragraphs, weighed by their words, give the
+coverage that makes a pair a candidate.  A candidate is checked exactly by the similarity of its sets of three-word
+sequences.  What has been accepted is appended as its hashes.
 
-Of a row's paragraphs those are looked up that the fewest history rows hold, all but a tenth of its words, so set phrases
-are looked up only where they are the text.  A history row is a candidate if what it shares of these, and all of the
-tenth, may reach ``COVERAGE``: no row that shares so much is lost, but one that
-is similar and shares less in whole sentences is.  A row of the same words is refused by the hash of its
-text.  Rows of a batch that are the same text are one class, so a group of copies costs one lookup and no pairs.
+All batches that wait are probed at once: the history's keys are read once for a call of ``check``, however many batches
+it takes, in a fixed number of Spark jobs; the arrival order is decided afterwards among the rows that are like each other.
+
+Of a row's paragraphs those are looked up that the fewest history rows hold, all but ``REST`` of its words, so set phrases
+are looked up only where they are the text.  A history row is a candidate if what it shares of these, and all of the rest,
+may reach ``COVERAGE`` of the words, or if it shares a sketch.  Of a key that more than ``HOT`` rows hold about ``HOT`` are
+tried first, and the others only for rows that are like none of these.  So, too, in the batches: the first row of each hot
+key is compared with all that share a key with it and decided before any other pair of hot keys is made.
 
 Defined cases: rows with an error are neither cases nor accepted; null hashes equal nothing; null, empty and blank texts,
 and those under three words, are compared by hash only; the first row of equal ones in arrival order is the one that may
-be accepted; an empty batch changes nothing; other columns are ignored; texts are read whole.
+be accepted; an empty batch changes nothing; ids are unique; other columns are ignored; texts are read whole.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -32,41 +37,61 @@ from pyspark.sql import functions as F
 
 from acervo.plans.workspace import Workspace
 
-from .neardup import Numbers, consistent, verify, words_of
+from .neardup import _MARKS, _WORD, Numbers, buckets, common_kmers, consistent, verify
 
-COVERAGE, REST, LEAST_WORDS = 0.2, 0.1, 5
-BROADCAST = 200_000
+COVERAGE, REST, LEAST_WORDS = 0.4, 0.25, 5
+#: Sketches of a text, of problem 6's first and second kind.
+SKETCHES = 7, 4
+#: Rows of ids or keys that are broadcast at most; more are joined.
+BROADCAST = 300_000
+#: Rows of a key that are tried at first; more make it hot.
+HOT = 64
+#: Kinds of keys.
+FILE, TEXT, PARAGRAPH, SKETCH = range(4)
 
 _PARAGRAPH = re.compile(r"[.;:!?…]+(?:\s|$)|\n\s*\n")
 #: Where a field that ends in a number is followed by a sentence without a mark between them.
-_FIELD = re.compile(r"(?<=\d)\s+(?=[A-ZÀ-Ý])")
+_FIELD = re.compile(r"(\d)\s+(?=[A-ZÀ-Ý])")
+_NEXT, _PART = chr(0x1D), chr(0x1E)
+_NONE = np.zeros(0, np.int32)
 
 
-def unit(words: list[int]) -> int:
-    """The hash of some words."""
-    return xxhash.xxh3_64_intdigest(np.array(words, np.int32).tobytes()) - (1 << 63)
+_TOKEN = re.compile(rf"[^\W_]+|[{_NEXT}{_PART}]")
 
 
-def paragraphs(text: str, number: Numbers) -> tuple[list[int], list[int], list[int]]:
+def paragraphs(text: str, number: Numbers) -> tuple[np.ndarray, list[int], list[int]]:
     """Numbers of all words; hashes and sizes of the sentences and of their parts, of ``LEAST_WORDS`` words or more.
 
     Where these hold less than half of the words, as in forms, the shorter ones count too, and the whole text.
     """
-    words: list[int] = []
+    text = _FIELD.sub(rf"\1{_PART}", _PARAGRAPH.sub(_NEXT, consistent(text)))
+    text = text.lower() if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", text.casefold()))
+    ends, words, parted = [], [], []
+    for t in _TOKEN.findall(text):
+        if t > _PART:
+            words.append(number[t])
+        elif t == _PART:
+            parted.append(len(words))
+        else:
+            ends.append((len(words), parted))
+            parted = []
+    ends.append((len(words), parted))
+    own = np.array(words, np.int32)
+    raw = own.tobytes()
     units: dict[int, int] = {}
     short: dict[int, int] = {}
-    covered = 0
-    for sentence in _PARAGRAPH.split(consistent(text)):
-        parts = [[number[w] for w in words_of(p)] for p in _FIELD.split(sentence)]
-        whole = [n for p in parts for n in p]
-        words += whole
-        covered += len(whole) if len(whole) >= LEAST_WORDS else 0
-        for own in [whole, *parts] if len(parts) > 1 else parts:
-            if own:
-                (units if len(own) >= LEAST_WORDS else short)[unit(own)] = len(own)
-    if 2 * covered < len(words):
-        units |= short | {unit(words): len(words)}
-    return words, list(units), list(units.values())
+    start = covered = 0
+    for end, inner in ends:
+        if end - start >= LEAST_WORDS:
+            covered += end - start
+        cuts = [start, *inner, end]
+        for a, b in [(start, end), *zip(cuts, cuts[1:], strict=False)] if inner else [(start, end)]:
+            if b > a:
+                (units if b - a >= LEAST_WORDS else short)[xxhash.xxh3_64_intdigest(raw[4 * a : 4 * b]) - (1 << 63)] = b - a
+        start = end
+    if 2 * covered < len(own):
+        units |= short | {xxhash.xxh3_64_intdigest(raw) - (1 << 63): len(own)}
+    return own, list(units), list(units.values())
 
 
 def features(df: DataFrame, key: str, digest: str, text: str, batch: str | None = None) -> DataFrame:
@@ -76,11 +101,11 @@ def features(df: DataFrame, key: str, digest: str, text: str, batch: str | None
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Numbers()
         for part in batches:
-            out = [paragraphs(t, number) if t and not t.isspace() else ([], [], []) for t in part.column(2).to_pylist()]
-            marks = [xxhash.xxh3_128_hexdigest(np.array(w, np.int32).tobytes()) if len(w) > 2 else None for w, _, _ in out]
+            out = [paragraphs(t, number) if t and not t.isspace() else (_NONE, [], []) for t in part.column(2).to_pylist()]
+            raw = [w.tobytes() if len(w) > 2 else None for w, _, _ in out]
+            marks = [xxhash.xxh3_128_hexdigest(x) if x else None for x in raw]
             yield pa.RecordBatch.from_arrays([
-                part.column(0), part.column(1), pa.array(marks, pa.string()),
-                pa.array([np.array(w, np.int32).tobytes() if m else None for (w, _, _), m in zip(out, marks, strict=True)], pa.binary()),
+                part.column(0), part.column(1), pa.array(marks, pa.string()), pa.array(raw, pa.binary()),
                 pa.array([u if m else [] for (_, u, _), m in zip(out, marks, strict=True)], pa.list_(pa.int64())),
                 pa.array([s if m else [] for (_, _, s), m in zip(out, marks, strict=True)], pa.list_(pa.int32())),
                 part.column(3),
@@ -90,144 +115,232 @@ def features(df: DataFrame, key: str, digest: str, text: str, batch: str | None
     return rows.mapInArrow(run, "id long, hash string, marca string, palavras binary, paragrafos array<long>, tamanhos array<int>, lote int")
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """Rows of a number or two, saved, to be broadcast if they are ``BROADCAST`` or less."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+
+
+def first_texts(rows: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """The rows with a text, without those whose text an earlier one has; the ids of the copies are broadcast if they are few."""
+    marked = rows.where("marca IS NOT NULL")
+    order = F.struct("lote", "id")
+    again = marked.groupBy("marca").agg(F.min(order).alias("primeira"), F.count("*").alias("n")).where("n > 1").select("marca", "primeira")
+    copies = work.save(marked.select("id", "lote", "marca").join(again, "marca").where(order > F.col("primeira")).select("id"), name)
+    return marked.join(few(copies), "id", "left_anti")
+
+
 class History:
-    """The bucketed index of what has been accepted."""
+    """The bucketed index of what has been accepted.
 
-    def __init__(self, spark: SparkSession, work: Workspace, buckets: int | None = None):
-        self.spark, self.work, self.name = spark, work, f"acervo_{uuid.uuid4().hex}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ``common`` are the k-mers that sketches pass over; they are fixed when the index is begun, else sketches made at
+    different times could not be compared.
+    """
+
+    def __init__(self, spark: SparkSession, work: Workspace, common: np.ndarray, buckets: int | None = None):
+        self.spark, self.work, self.name, self.common = spark, work, f"acervo_{uuid.uuid4().hex}", common
+        self.buckets, self.parts = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), 0
 
     def _add(self, df: DataFrame, part: str, by: str) -> None:
         out = df.repartition(self.buckets, by).write.mode("append").format("parquet").bucketBy(self.buckets, by)
         out.option("path", f"{self.work.path}/{part}").saveAsTable(f"{self.name}_{part}")
 
-    def append(self, rows: DataFrame) -> None:
-        """Take up rows with features: the keys of their hashes and paragraphs, and their words.
-
-        Of rows with the same text the first stands for all, so copies add their file hashes only.
-        """
-        first = rows.where("marca IS NOT NULL").groupBy("marca").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("primeira"))
-        rows = rows.join(first, "id", "left").withColumn("paragrafos", F.when(F.col("primeira"), F.col("paragrafos")).otherwise(F.array()))
-        rows = rows.withColumn("marca", F.when(F.col("primeira"), F.col("marca")))
-        self._add(keys(rows), "keys", "chave")
-        self._add(rows.where("primeira").select("id", "palavras"), "words", "id")
+    def append(self, rows: DataFrame, texts: DataFrame, own: DataFrame) -> None:
+        """Take up rows with features: the hashes of their files, and the words and ``own`` units of ``texts``, the first of each text."""
+        none = F.lit(None).cast("string")
+        files = rows.where("hash IS NOT NULL").select(F.xxhash64("hash").alias("chave"), "id", F.lit(FILE).cast("byte").alias("tipo"), F.col("hash").alias("valor"))
+        marks = texts.select(F.xxhash64("marca").alias("chave"), "id", F.lit(TEXT).cast("byte").alias("tipo"), F.col("marca").alias("valor"))
+        self._add(files.union(marks).union(own.select("chave", "id", "tipo", none.alias("valor"))), "keys", "chave")
+        self._add(texts.select("id", "palavras"), "words", "id")
 
     def held(self, wanted: DataFrame) -> DataFrame:
-        """The keys of the history that a batch has: a semi-join in the buckets, hashed on the batch's side."""
+        """The keys of the history among ``wanted``: a semi-join in the buckets, hashed on the side of what is wanted."""
         few = wanted.select("chave").distinct().repartition(self.buckets, "chave")
         return self.spark.table(f"{self.name}_keys").join(few.hint("shuffle_hash"), "chave", "left_semi")
 
     def words(self, ids: DataFrame) -> DataFrame:
-        """The words of some history rows."""
-        if ids.count() <= BROADCAST:
-            return self.spark.table(f"{self.name}_words").join(F.broadcast(ids), "id", "left_semi").select("id", "palavras")
-        return self.spark.table(f"{self.name}_words").join(ids.repartition(self.buckets, "id"), "id", "left_semi").select("id", "palavras")
+        """The words of some history rows, in the buckets of their ids."""
+        few = ids.select("id").distinct().repartition(self.buckets, "id")
+        return self.spark.table(f"{self.name}_words").join(few.hint("shuffle_hash"), "id", "left_semi").select("id", "palavras")
 
     def drop(self) -> None:
         for part in ("keys", "words"):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{part}")
 
 
-def keys(rows: DataFrame) -> DataFrame:
-    """``chave``, ``id``, ``hash``, ``marca``: one row for the file's hash (``hash`` set), one for the text's (``marca`` set), one for each paragraph."""
+def units(history: History, texts: DataFrame) -> DataFrame:
+    """``id``, ``chave``, ``w`` (words), ``todas`` (of all), ``tipo``: the paragraphs and the sketches of texts."""
+    whole = F.aggregate("tamanhos", F.lit(0), lambda x, y: x + y)
+    each = texts.select("id", whole.alias("todas"), F.explode(F.arrays_zip("paragrafos", "tamanhos")).alias("x"))
+    each = each.select("id", F.col("x.paragrafos").alias("chave"), F.col("x.tamanhos").alias("w"), "todas", F.lit(PARAGRAPH).cast("byte").alias("tipo"))
+    sketch = buckets(history.spark, texts.select("id", "palavras"), history.common, *SKETCHES)
+    return each.union(sketch.select("id", F.col("balde").alias("chave"), F.lit(0).alias("w"), F.lit(0).alias("todas"), F.lit(SKETCH).cast("byte").alias("tipo")))
 
-    def key(chave, digest=None, mark=None):
-        none = F.lit(None).cast("string")
-        return F.struct(chave.alias("chave"), (none if digest is None else digest).alias("hash"), (none if mark is None else mark).alias("marca"))
 
-    file = F.when(F.col("hash").isNotNull(), F.array(F.xxhash64("hash"))).otherwise(F.array())
-    text = F.when(F.col("marca").isNotNull(), F.array(F.xxhash64("marca"))).otherwise(F.array())
-    each = F.concat(F.transform(file, lambda k: key(k, digest=F.col("hash"))), F.transform(text, lambda k: key(k, mark=F.col("marca"))), F.transform("paragrafos", lambda k: key(k)))
-    return rows.select("id", F.explode(each).alias("x")).select("x.chave", "id", "x.hash", "x.marca")
+def lookups(own: DataFrame) -> DataFrame:
+    """``b``, ``chave``, ``w``, ``todas``, ``resto``, ``tipo``, ``df``: what is looked up of the texts of ``own``.
 
+    ``own`` has the units that others hold, ``df`` of them.  All sketches are looked up, and the paragraphs but the most
+    frequent, up to ``REST`` of the text's words, which are ``resto``.
+    """
+    order = W.partitionBy("id").orderBy(F.desc("df"), F.desc("chave"))
+    late = (F.col("tipo") == PARAGRAPH) & (F.col("ate") < REST * F.col("todas"))
+    seen = own.withColumn("ate", F.sum("w").over(order))
+    seen = seen.withColumn("resto", F.sum(F.when(late, F.col("w")).otherwise(0)).over(W.partitionBy("id")))
+    return seen.where(~late).select(F.col("id").alias("b"), "chave", "w", "todas", "resto", "tipo", "df")
 
-def _candidates(classes: DataFrame, held: DataFrame) -> DataFrame:
-    """``a``, ``b``: rows of ``held`` (``chave``, ``id``) and of ``classes`` that may share ``COVERAGE`` of the words of ``b``.
 
-    Of a row of ``classes`` those paragraphs are looked up that ``held`` has least often, all but ``REST`` of its words or
-    less; a pair stays if what it shares of these, and all of the rest, reach ``COVERAGE``.  None that does is lost.
-    """
-    each = classes.select("id", F.explode(F.arrays_zip("paragrafos", "tamanhos")).alias("x")).select(F.col("id").alias("b"), F.col("x.paragrafos").alias("chave"), F.col("x.tamanhos").alias("w"))
-    seen = each.join(held.groupBy("chave").agg(F.count("*").alias("df")), "chave", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    order = W.partitionBy("b").orderBy("df", "chave")
-    seen = seen.withColumn("antes", F.sum("w").over(order) - F.col("w")).withColumn("todas", F.sum("w").over(W.partitionBy("b")))
-    last = F.when(F.col("antes") > (1 - REST) * F.col("todas"), F.col("w")).otherwise(0)
-    seen = seen.withColumn("resto", F.sum(last).over(W.partitionBy("b")))
-    rare = seen.where((F.col("df") > 0) & (F.col("antes") <= (1 - REST) * F.col("todas"))).select("b", "chave", "w", "todas", "resto")
+def candidates(rare: DataFrame, held: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``w``: texts that share a sketch, or paragraphs that may reach ``COVERAGE`` of the words of ``b``."""
     shared = rare.join(held.select("chave", F.col("id").alias("a")), "chave").where("a <> b")
-    shared = shared.groupBy("a", "b").agg(F.sum("w").alias("w"), F.first("todas").alias("todas"), F.first("resto").alias("resto"))
-    return shared.where(F.col("w") + F.col("resto") >= COVERAGE * F.col("todas")).select("a", "b")
-
+    shared = shared.groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("todas").alias("todas"), F.max("resto").alias("resto"), F.max("tipo").alias("tipo"))
+    return shared.where((F.col("tipo") == SKETCH) | (F.col("w") + F.col("resto") >= COVERAGE * F.col("todas"))).select("a", "b", "w")
 
-def check(history: History, batch: DataFrame, step: str, limit: float = 0.5) -> DataFrame:
-    """``id``, ``tipo`` of the batch's cases; takes the other rows into the history.
 
-    ``batch`` has the features of rows without error, ids in arrival order.
-    """
+def like_history(history: History, words: DataFrame, ids: DataFrame, own: DataFrame, held: DataFrame, limit: float) -> DataFrame:
+    """``b``: those of ``ids`` that are like a text of the history; ``words`` has the words of all texts of the batch."""
     work = history.work
-    mark = F.coalesce("marca", F.concat(F.lit("h"), "hash"), F.concat(F.lit("i"), F.col("id").cast("string")))
-    rows = work.save(batch.withColumn("classe", mark), f"{step}-rows")
-    held = work.save(history.held(keys(rows)), f"{step}-held")
-    exact = held.where("hash IS NOT NULL").select("hash").distinct().withColumn("exata", F.lit(True))
-    told = rows.join(exact, "hash", "left")
-    first = told.where("exata IS NULL").groupBy("classe").agg(F.min("id").alias("primeira"))
-    told = work.save(told.join(first, "classe", "left"), f"{step}-told")
-    classes = told.where("exata IS NULL AND id = primeira")
-    texts = classes.where("marca IS NOT NULL")
-    both = held.where("hash IS NULL AND marca IS NULL").select("chave", "id").union(texts.select(F.explode("paragrafos").alias("chave"), "id"))
-    pairs = _candidates(texts, both).join(texts.select(F.col("id").alias("a"), F.lit(True).alias("dentro")), "a", "left")
-    pairs = pairs.withColumn("dentro", F.coalesce("dentro", F.lit(False)))
-    # two rows of the batch: the earlier one is a, whichever found the other
-    inside = F.col("dentro")
-    pairs = pairs.select(F.when(inside, F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(inside, F.greatest("a", "b")).otherwise(F.col("b")).alias("b"), "dentro").distinct()
-    pairs = work.save(pairs, f"{step}-pairs")
-    words = history.words(pairs.where("NOT dentro").select(F.col("a").alias("id")).distinct()).union(texts.select("id", "palavras"))
-    like = verify(pairs.select("a", "b"), words, limit).where("ok").select("a", "b").join(pairs, ["a", "b"])
-    like = work.save(like, f"{step}-like")
-    edges = like.where("dentro").select("a", "b")
-
-    # a class is accepted unless it resembles the history or an accepted class before it; decided from the first on
-    same = texts.join(held.where("marca IS NOT NULL").select("marca"), "marca", "left_semi").select("id")
-    refused, k = work.save(like.where("NOT dentro").select(F.col("b").alias("id")).union(same).distinct(), f"{step}-same"), 0
+    sizes = held.groupBy("chave").agg(F.count("*").alias("df"))
+    rare = work.save(lookups(own.join(few(ids), "id", "left_semi").join(sizes, "chave")), "lookups")
+    # of a hot key the rows whose own number falls under HOT in df come first: the same rows for all their keys
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    hot = work.save(rare.where(F.col("df") > HOT).select("chave", "df").distinct(), "hot")
+    cold = hot.isEmpty()
+    first = held if cold else held.join(hot, "chave", "left").where(F.col("df").isNull() | (share < HOT / F.col("df")))
+    pairs = work.save(candidates(rare, first), "pairs")
+
+    def alike(pairs: DataFrame, name: str) -> DataFrame:
+        ids = work.save(pairs.select(F.col("b").alias("id")).distinct(), f"{name}-ids")
+        both = history.words(pairs.select(F.col("a").alias("id"))).union(words.join(few(ids), "id", "left_semi"))
+        return work.save(verify(pairs.select("a", "b"), both, limit, False).where("ok").select("b").distinct(), name)
+
+    tried = work.save(pairs.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a")).select("a", "b"), "tried")
+    done = alike(tried, "like")
+    left = rare.join(done, "b", "left_anti")
+    more = pairs.select("a", "b") if cold else candidates(left, held).select("a", "b")
+    more = work.save(more.join(done, "b", "left_anti").join(tried, ["a", "b"], "left_anti"), "more")
+    return done.union(alike(more, "like2"))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs of ids with the lesser first, each once."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def resolve(rows: DataFrame, edges: DataFrame, work: Workspace, name: str, only: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """The accepted of ``rows`` (``ordem``, ``id``, ``hash``, ``classe``), and those that are left undecided.
+
+    ``edges`` has ``x``, ``y``: classes that are alike, both ways.  In a round those rows are accepted that come before all
+    rows of their hash, of their class and of the classes like it; all that these rule out leave.  ``only`` holds the
+    classes that may be accepted; without it nothing is left.
+    """
+    accepted, step = None, 0
     while True:
-        live = edges.join(refused.select(F.col("id").alias("a")), "a", "left_anti").join(refused.select(F.col("id").alias("b")), "b", "left_anti")
-        live = work.save(live, f"{step}-live{k}")
-        if live.isEmpty():
-            break
-        free = live.select(F.col("a").alias("id")).distinct().join(live.select(F.col("b").alias("id")), "id", "left_anti")
-        new = live.join(free.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        refused, k = refused.union(work.save(new, f"{step}-refused{k}")), k + 1
-    accepted = work.save(classes.select("id", "hash", "classe").join(refused, "id", "left_anti"), f"{step}-accepted")
-
-    # rows of an accepted class after its first are cases; so is a row whose hash an accepted row before it has
-    hashes = accepted.where("hash IS NOT NULL").groupBy("hash").agg(F.min("id").alias("dono"))
-    out = told.select("id", "hash", "classe", "exata").join(hashes, "hash", "left").join(accepted.select("classe", F.col("id").alias("aceita")), "classe", "left")
-    kind = F.when(F.col("exata") | (F.col("dono") < F.col("id")), "exata").when((F.col("aceita") == F.col("id")) | rows_without_text("classe"), F.lit(None)).otherwise("quase")
-    out = work.save(out.select("id", kind.alias("tipo")), f"{step}-out")
-    history.append(rows.join(out.where("tipo IS NULL").select("id"), "id", "left_semi"))
-    return out.where("tipo IS NOT NULL")
-
+        least = rows.where("classe IS NOT NULL").groupBy("classe").agg(F.min("ordem").alias("m"))
+        owner = rows.where("hash IS NOT NULL").groupBy("hash").agg(F.min("ordem").alias("h"))
+        near = edges.join(least.select(F.col("classe").alias("y"), "m"), "y").groupBy("x").agg(F.min("m").alias("p"))
+        free = rows.join(least, "classe", "left").join(owner, "hash", "left").join(near.withColumnRenamed("x", "classe"), "classe", "left")
+        free = free.where("(m IS NULL OR ordem = m) AND (h IS NULL OR ordem = h) AND (p IS NULL OR ordem < p)")
+        if only is not None:
+            free = free.join(only, "classe", "left_semi")
+        new = work.save(free.select("ordem", "id", "hash", "classe"), f"{name}{step}-new")
+        if new.isEmpty():
+            return accepted, rows
+        accepted = new if accepted is None else accepted.union(new)
+        out = new.select("classe").union(edges.join(new.select(F.col("classe").alias("x")), "x", "left_semi").select("y"))
+        rows = rows.join(new.select("id"), "id", "left_anti").join(new.where("hash IS NOT NULL").select("hash").distinct(), "hash", "left_anti")
+        rows = work.save(rows.join(out.where("classe IS NOT NULL").distinct(), "classe", "left_anti").select("ordem", "id", "hash", "classe"), f"{name}{step}-left")
+        step += 1
+
+
+def among(history: History, rows: DataFrame, texts: DataFrame, own: DataFrame, words: DataFrame, limit: float) -> DataFrame:
+    """The accepted of ``rows``, none of which the history has; ``texts`` (``id``, ``ordem``, ``classe``) are the first of their classes."""
+    work = history.work
 
-def rows_without_text(column: str):
-    """Whether a class stands for a row without text: it can't resemble another."""
-    return F.substring(column, 1, 1).isin("h", "i")
+    def shared(own: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """The units that several texts have; and those that are looked up."""
+        sizes = work.save(own.groupBy("chave").agg(F.count("*").alias("df")).where("df > 1"), f"{name}-sizes")
+        own = work.save(own.join(few(sizes), "chave"), f"{name}-units")
+        return own, work.save(lookups(own), f"{name}-lookups")
+
+    def edges(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = work.save(ordered(pairs), f"{name}-pairs")
+        ids = work.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
+        ok = verify(pairs, words.join(few(ids), "id", "left_semi"), limit, False).where("ok").select("a", "b")
+        ok = ok.join(texts.select(F.col("id").alias("a"), F.col("classe").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("classe").alias("y")), "b")
+        return work.save(ok.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e")).select("e.*"), name)
+
+    accepted = None
+    held, rare = shared(own.join(few(texts.select("id")), "id", "left_semi"), "first")
+    hot = rare.where(F.col("df") > HOT)
+    if not hot.isEmpty():
+        pivots = held.join(hot.select("chave").distinct(), "chave", "left_semi").join(texts.select("id", "ordem"), "id").groupBy("chave").agg(F.min_by("id", "ordem").alias("id"))
+        pivots = work.save(pivots.select("id").distinct(), "pivots")
+        star = candidates(rare.join(pivots.select(F.col("id").alias("b")), "b", "left_semi"), held)
+        star = star.union(candidates(rare, held.join(pivots, "id", "left_semi")))
+        accepted, rows = resolve(rows, edges(star.select("a", "b"), "star"), work, "star", pivots.join(texts, "id").select("classe"))
+        live = work.save(texts.join(rows.select("classe").distinct(), "classe", "left_semi").select("id"), "live")
+        held, rare = shared(held.drop("df").join(few(live), "id", "left_semi"), "live")
+    rest, _ = resolve(rows, edges(candidates(rare, held).select("a", "b"), "edges"), work, "rest")
+    out = [x for x in (accepted, rest) if x is not None]
+    return rows.where("false") if not out else out[0] if len(out) == 1 else out[0].union(out[1])
+
+
+def check(history: History, batch: DataFrame, limit: float = 0.5) -> DataFrame:
+    """``id``, ``tipo`` of the cases of one or more batches; takes their other rows into the history.
+
+    ``batch`` has the features of rows without error, saved; arrival order is (``lote``, ``id``).
+    """
+    work = history.work
+    order = F.col("lote").cast("decimal(10,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.col("id")
+    rows = batch.select(order.cast("decimal(38,0)").alias("ordem"), "id", "hash", F.col("marca").alias("classe"))
+    # one row stands for all of the same text
+    firsts = first_texts(batch, work, "batch-copies")
+    own = work.save(units(history, firsts), "units")
+    wanted = own.select("chave").union(rows.where("hash IS NOT NULL").select(F.xxhash64("hash"))).union(rows.where("classe IS NOT NULL").select(F.xxhash64("classe")))
+    held = work.save(history.held(wanted), "held")
+    exact = held.where(F.col("tipo") == FILE).select(F.col("valor").alias("hash")).distinct()
+    same = held.where(F.col("tipo") == TEXT).select(F.col("valor").alias("classe")).distinct()
+    fresh = work.save(rows.join(exact, "hash", "left_anti"), "fresh")
+    texts = firsts.select("id", order.cast("decimal(38,0)").alias("ordem"), F.col("marca").alias("classe"))
+    texts = work.save(texts.join(same, "classe", "left_anti").join(fresh.select("classe").distinct(), "classe", "left_semi"), "open")
+    words = batch.select("id", "palavras")
+    like = like_history(history, words, texts.select("id"), own, held.where(F.col("tipo") >= PARAGRAPH).select("chave", "id"), limit)
+    like = work.save(texts.join(like.select(F.col("b").alias("id")), "id", "left_semi").select("classe"), "like-history")
+    left = work.save(fresh.join(same.union(like), "classe", "left_anti").select("ordem", "id", "hash", "classe"), "undecided")
+    texts = work.save(texts.join(like, "classe", "left_anti"), "left")
+    accepted = work.save(among(history, left, texts, own, words, limit), "accepted")
+
+    owner = accepted.where("hash IS NOT NULL").groupBy("hash").agg(F.min("ordem").alias("dono"))
+    out = rows.join(exact.withColumn("exata", F.lit(True)), "hash", "left").join(owner, "hash", "left").join(accepted.select("id", F.lit(True).alias("aceita")), "id", "left")
+    kind = F.when(F.col("exata") | (F.col("dono") < F.col("ordem")), "exata").when(F.col("aceita"), F.lit(None)).otherwise("quase")
+    out = work.save(out.select("id", kind.alias("tipo")).where("tipo IS NOT NULL"), f"cases-{history.parts}")
+    accepted = few(accepted.select("id"))
+    taken = batch.join(accepted, "id", "left_semi")
+    texts = taken.where("marca IS NOT NULL")
+    # an accepted row is not always the first of its text: the units are found by the first, and belong to the accepted
+    owner = texts.select("marca", F.col("id").alias("_a")).join(firsts.select("id", "marca"), "marca").select("id", "_a")
+    history.append(taken, texts, own.join(few(work.save(owner, "owners")), "id").withColumn("id", F.col("_a")).drop("_a"))
+    history.parts += 1
+    return out
+
+
+def begin(spark: SparkSession, work: Workspace, rows: DataFrame) -> History:
+    """An index of rows with features, saved, that are all accepted."""
+    texts = first_texts(rows, work, "copies")
+    history = History(spark, work, common_kmers(texts.select("palavras")))
+    history.append(rows, texts, units(history, texts))
+    return history
 
 
 def found(spark: SparkSession, documents: DataFrame, inbox: DataFrame, batches: DataFrame) -> DataFrame:
-    """``entrada_id``, ``tipo`` of the cases of every batch, in the order of ``batches`` (a small table by its nature)."""
+    """``entrada_id``, ``tipo`` of the cases of every batch of ``batches``."""
     work = Workspace(spark, "batches")
-    history = History(spark, work)
     past = work.save(features(documents.withColumn("chave", F.col("id") * 2), "chave", "hash", "texto"), "past")
-    history.append(past)
-    lots = batches.select("lote").distinct()
-    own = inbox.where("erro IS NULL").join(F.broadcast(lots), "lote", "left_semi").withColumn("chave", F.col("entrada_id") * 2 + 1)
-    # a row's features don't depend on the history: they are made in one pass and read by batch
-    own = work.save(features(own, "chave", "hash", "texto", "lote"), "inbox", "lote")
-    out = None
-    for row in lots.orderBy("lote").toLocalIterator():
-        cases = check(history, own.where(F.col("lote") == row.lote).drop("lote"), f"b{row.lote}")
-        out = cases if out is None else out.union(cases)
-    history.drop()
-    if out is None:
-        out = past.select("id", F.lit("").alias("tipo")).where("false")
-    return out.select(((F.col("id") - 1) / 2).cast("long").alias("entrada_id"), "tipo")
+    history = begin(spark, work, past)
+    work.discard("past")
+    try:
+        own = inbox.where("erro IS NULL").join(batches.select("lote").distinct(), "lote", "left_semi").withColumn("chave", F.col("entrada_id") * 2 + 1)
+        cases = check(history, work.save(features(own, "chave", "hash", "texto", "lote"), "inbox"))
+        return work.finish(cases.select(((F.col("id") - 1) / 2).cast("long").alias("entrada_id"), "tipo"))
+    finally:
+        history.drop()

@@ -52,6 +52,8 @@ BAND = 24
 #: Texts of a bucket that gives all its pairs; that a text is first compared with; whose bitmaps a task holds; ids that are
 #: broadcast at most.
 SMALL, PIVOTS, HELD, BROADCAST = 8, 8, 4_096, 300_000
+#: Records of a group that one key of the join into pairs holds.
+PART = 1_000
 #: Bits of a parity bitmap.
 LEAST_BITS, MOST_BITS = 128, 1 << 15
 
@@ -131,10 +133,10 @@ _SEEDS, _WHOLE_SEEDS = np.split(mix(np.arange(1, SKETCHES + WHOLE + 1, dtype=np.
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def sketches(words: np.ndarray, ends: np.ndarray, common: np.ndarray, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def sketches(words: np.ndarray, ends: np.ndarray, common: np.ndarray, rare: int = SKETCHES, whole: int = WHOLE) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of many texts, one a sketch, and the text of each; texts without k-mers have none.
 
-    The first ``SKETCHES`` pass over the k-mers of ``common``; the others, made if ``whole``, take a ``THIN``-th of them.
+    The first ``rare`` pass over the k-mers of ``common``; ``whole`` others take a ``THIN``-th of them.
     """
     own, text = kmers_of(words, ends)
     if not len(own):
@@ -145,9 +147,9 @@ def sketches(words: np.ndarray, ends: np.ndarray, common: np.ndarray, whole: boo
         late = common[np.minimum(at, len(common) - 1)] == own
     thin = late & (mix(own ^ _M2) % np.uint64(THIN) > 0)
     own = labelled(own, text)
-    parts = [drawn(own, text, late, _SEEDS, TAKE)]
+    parts = [drawn(own, text, late, _SEEDS[:rare], TAKE)]
     if whole:
-        parts.append(drawn(own, text, thin, _WHOLE_SEEDS, WHOLE_TAKE))
+        parts.append(drawn(own, text, thin, _WHOLE_SEEDS[:whole], WHOLE_TAKE))
     return np.concatenate([b for b, _ in parts]), np.concatenate([t for _, t in parts])
 
 
@@ -237,26 +239,40 @@ def banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int = BAND) -> np.n
     return best.max(axis=1)
 
 
+def shared_sets(pairs: list[tuple[np.ndarray, np.ndarray]], limit: float = LIMIT) -> np.ndarray:
+    """Whether the sets of ``K``-word sequences of each pair have the similarity ``limit``, exactly, for many pairs at once."""
+    ok = np.zeros(len(pairs), bool)
+    for at in range(0, len(pairs), 512):
+        part = pairs[at : at + 512]
+        sets = []
+        for side in (0, 1):
+            own, which = kmers_of(np.concatenate([p[side] for p in part]), np.cumsum([len(p[side]) for p in part]))
+            key, first = np.unique(own ^ mix((which + 1).astype(np.uint64) * _M3), return_index=True)
+            sets.append((key, which[first]))
+        (a, pa_), (b, pb_) = sets
+        both = np.bincount(pb_[np.isin(b, a, assume_unique=True, kind="sort")], minlength=len(part))
+        whole = np.bincount(pa_, minlength=len(part)) + np.bincount(pb_, minlength=len(part)) - both
+        ok[at : at + 512] = (both > 0) & (both >= limit * whole)
+    return ok
+
+
 def similar(pairs: list[tuple[np.ndarray, np.ndarray]], limit: float = LIMIT) -> tuple[np.ndarray, np.ndarray]:
     """Whether the similarity of each pair reaches ``limit``, and the words that its banded alignment matches."""
-    matched, ok = np.zeros(len(pairs), np.int32), np.zeros(len(pairs), bool)
+    matched = np.zeros(len(pairs), np.int32)
     by: dict[int, list[int]] = defaultdict(list)
     for i, (a, b) in enumerate(pairs):
-        by[max(len(a), len(b)).bit_length()].append(i)
+        if 2 * min(len(a), len(b)) >= max(len(a), len(b)):  # else the alignment can't settle it
+            by[max(len(a), len(b)).bit_length()].append(i)
     for own in by.values():
         for at in range(0, len(own), 256):
             part = own[at : at + 256]
             matched[part] = banded([pairs[i] for i in part])
-    for i, (a, b) in enumerate(pairs):
-        # each unmatched word spoils at most K sequences; a twentieth is left for sequences that come twice
-        shared = max(0, min(len(a), len(b)) - K + 1 - K * (len(a) + len(b) - 2 * int(matched[i])))
-        whole = len(a) + len(b) - 2 * (K - 1) - shared
-        if whole > 0 and shared >= (limit + 0.05) * whole:
-            ok[i] = True
-        else:
-            x, y = np.unique(kmers(a)), np.unique(kmers(b))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok[i] = both > 0 and both >= limit * (len(x) + len(y) - both)
+    n = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
+    # each unmatched word spoils at most K sequences; a twentieth is left for sequences that come twice
+    shared = np.maximum(0, np.minimum(*n) - K + 1 - K * (n[0] + n[1] - 2 * matched))
+    ok = (shared > 0) & (shared >= (limit + 0.05) * (n[0] + n[1] - 2 * (K - 1) - shared))
+    left = np.flatnonzero(~ok)
+    ok[left] = shared_sets([pairs[i] for i in left], limit)
     return ok, matched
 
 
@@ -327,7 +343,7 @@ def common_kmers(words: DataFrame, count: int | None = None) -> np.ndarray:
     return np.sort(np.array([r.comum for r in seen.where(F.col("n") >= least).select("comum").toLocalIterator()], np.int64).astype(np.uint64))
 
 
-def buckets(spark: SparkSession, words: DataFrame, common: np.ndarray, whole: bool = True) -> DataFrame:
+def buckets(spark: SparkSession, words: DataFrame, common: np.ndarray, rare: int = SKETCHES, whole: int = WHOLE) -> DataFrame:
     """``balde`` and ``id``: the buckets of every text."""
     shared, kind = spark.sparkContext.broadcast(common), words.schema["id"].dataType.simpleString()
 
@@ -336,7 +352,7 @@ def buckets(spark: SparkSession, words: DataFrame, common: np.ndarray, whole: bo
             for at in range(0, rows.num_rows, 2_000):
                 part = rows.slice(at, 2_000)
                 lists = word_numbers(part.column(1))
-                own, text = sketches(np.concatenate(lists), np.cumsum([len(x) for x in lists]), shared.value, whole)
+                own, text = sketches(np.concatenate(lists), np.cumsum([len(x) for x in lists]), shared.value, rare, whole)
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), part.column(0).take(pa.array(text))], names=["balde", "id"])
 
     return words.select("id", "palavras").mapInArrow(run, f"balde long, id {kind}")
@@ -450,13 +466,14 @@ def folded(bits: bytes, wide: int) -> int:
     return out
 
 
-def verify(pairs: DataFrame, words: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """``a``, ``b``, ``ok``, ``alinhadas`` of pairs of ids."""
+def verify(pairs: DataFrame, words: DataFrame, limit: float = LIMIT, align: bool = True) -> DataFrame:
+    """``a``, ``b``, ``ok``, ``alinhadas`` of pairs of ids; without ``align`` by their sets of sequences alone."""
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            ok, matched = similar(list(zip(word_numbers(part.column(2)), word_numbers(part.column(3)), strict=True)), limit)
+            both = list(zip(word_numbers(part.column(2)), word_numbers(part.column(3)), strict=True))
+            ok, matched = similar(both, limit) if align else (shared_sets(both, limit), np.zeros(len(both), np.int32))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ok), pa.array(matched)], names=["a", "b", "ok", "alinhadas"])
 
     own = words.select("id", "palavras")
@@ -486,7 +503,8 @@ def groups(spark: SparkSession, df: DataFrame, key: str = "id", text: str = "tex
     pairs = possible(meet.where("a <> b").select("a", "b").distinct(), maps).union(hot_pairs(first, PIVOTS)).distinct()
     told = work.save(verify(pairs, words), "told").select("a", "b", "ok")
     # what the first pairs have not connected: all pairs of the first HELD texts of each bucket, then without these
-    joined = components(told.where("ok"), Workspace(spark, "neardup")).select(F.col("no").alias("id"), "grupo")
+    with Workspace(spark, "neardup-first") as inner:
+        joined = work.save(components(told.where("ok"), inner).select(F.col("no").alias("id"), "grupo"), "joined")
     rest = hot.join(joined, "id", "left").withColumn("grupo", F.coalesce("grupo", "id"))
     apart = rest.groupBy("balde").agg(F.min("grupo").alias("x"), F.max("grupo").alias("y")).where("x <> y").select("balde")
     rest, step = work.save(rest.join(apart, "balde"), "rest"), 0
@@ -498,11 +516,17 @@ def groups(spark: SparkSession, df: DataFrame, key: str = "id", text: str = "tex
         step += 1
     edges = copies.where("id <> grupo").select(F.col("grupo").alias("a"), F.col("id").alias("b"))
     edges = edges.union(told.where("ok").select("a", "b"))
-    return components(edges, work).select(F.col("no").alias("id"), "grupo")
+    return work.finish(components(edges, work).select(F.col("no").alias("id"), "grupo"), "groups")
 
 
 def found(spark: SparkSession, df: DataFrame, key: str = "id", text: str = "texto") -> DataFrame:
-    """``id_a`` < ``id_b``: every pair of records of the same group."""
-    own = Workspace(spark, "neardup").save(groups(spark, df, key, text), "groups")
-    a = own.select(F.col("id").alias("id_a"), "grupo")
-    return a.join(own.select(F.col("id").alias("id_b"), "grupo"), "grupo").where("id_a < id_b").select("id_a", "id_b")
+    """``id_a`` < ``id_b``: every pair of records of the same group.
+
+    A group's records are dealt to as many keys as it has ``PART`` of them, each of which meets all of the group.
+    """
+    own = groups(spark, df, key, text)
+    parts = own.groupBy("grupo").agg(F.ceil(F.count("*") / PART).cast("int").alias("partes"))
+    own = own.join(parts, "grupo")
+    a = own.select(F.col("id").alias("id_a"), "grupo", F.pmod(F.xxhash64("id"), F.col("partes")).cast("int").alias("parte"))
+    b = own.select(F.col("id").alias("id_b"), "grupo", F.explode(F.sequence(F.lit(0), F.col("partes") - 1)).alias("parte"))
+    return a.join(b, ["grupo", "parte"]).where("id_a < id_b").select("id_a", "id_b")
