@@ -1,17 +1,22 @@
 """Problem 2: text decoded with the wrong character encoding.
 
 A regular expression in the JVM passes every field that holds any sign of wrong decoding (a superset of the cases).  For
-those, each chain of wrong and right encoding is applied to the stretches it can decode, a stretch being a word with its
-neighbours; the description length of a candidate is its size under the better of the languages' zstandard dictionaries
-plus the cost of the chain.  Links are added while the description gets shorter; otherwise the field stays unchanged.
-
-The dictionaries are the only fitted model: they are trained from at most ``SAMPLE`` clean texts and names, taken in the
-order of a hash over all rows, so the bound doesn't grow with the data; they are broadcast (``DICTIONARY`` bytes each).
-
-Defined cases: null, empty and blank fields are not reported; the replacement character alone makes a case that cannot be
-restored; a field that no chain makes shorter is left unchanged; correct capitals with accents, foreign words and signs
-have no shorter candidate; repeated rows give one row; other columns are ignored.  There is no shuffle but the final
-distinct, and texts are read whole.
+those, every chain of up to ``LINKS`` wrong and right encodings is applied to each word that is not plain.  A candidate
+decoding is described by its words in their context under the better of the languages' zstandard dictionaries, ``ESCAPE``
+bytes for each character that the clean texts lack (a dictionary has no code for it), and the links of its chain.  The
+chain with the shortest description is applied to the words that it does not make longer, then the next to the words that
+are left, while the total gets shorter; otherwise the field stays unchanged.
+
+A field that holds the replacement character is a case whatever its description: nothing can restore what it stands for.
+A mark of a word broken at a line's end, and words between no-break spaces, are not read by another code page.
+
+The dictionaries are the only fitted model: they are trained from the ``SAMPLE`` distinct clean values of least hash, so the
+bound doesn't grow with the data and equal values count once; they are broadcast (``DICTIONARY`` bytes each).  What a
+character needs to be known is counted over all values.
+
+Defined cases: null, empty and blank fields are not reported; a field that no chain makes shorter is left unchanged; correct
+capitals with accents, foreign words and signs have no shorter candidate; repeated rows give one row; other columns are
+ignored; ties go to the shorter chain.  There is no shuffle but the final distinct, and texts are read whole.
 """
 
 from __future__ import annotations
@@ -21,18 +26,20 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLE, DICTIONARY = 4_000, 64 * 1024
-#: Bytes that naming a chain costs: one that yields UTF-8 is checked by its own form, one between two code pages is not.
-COST_UTF8, COST_PAGE = 1, 2
+SAMPLE, DICTIONARY, LEVEL = 4_000, 64 * 1024, 19
 LINKS = 3
-#: Bytes that a character costs besides when the clean sample doesn't have it or has it in less than a twentieth of its
-#: values; that a change of case inside a word costs, and a sign between letters.
-NOVEL, RARE, CASE, INSIDE = 3, 1, 3, 2
+#: Bytes that a link costs: one that yields UTF-8 is checked by its own form, one between two code pages is not.
+COST_UTF8, COST_PAGE = 1, 2
+#: Bytes that a character costs besides if fewer than one in ``KNOWN`` values, or than ``LEAST``, is clean and has it.
+ESCAPE, KNOWN, LEAST = 2, 1_300, 3
+#: Bytes more by itself that a reading may take to be tried in context.
+SLACK = 1
+#: Characters of context on either side of a word.
+CONTEXT = 20
 
 # Wrong decoder, right decoder.
 CHAINS = (
@@ -45,30 +52,29 @@ COMMON = {"pt": "de do da em no na para com um uma por ao sem sob", "es": "de de
 
 PLAIN, CAPITALS = "áàâãéêíóôõúüçñ", "ÁÀÂÃÉÊÍÓÔÕÚÜÇÑ"
 #: What every garbled field holds: a character that plain text lacks, small letters right before accented capitals or the
-#: reverse, what a byte of UTF-8 becomes after its lead, signs inside words.
+#: reverse, what a byte of UTF-8 becomes after its lead, signs inside words.  The look ahead passes over plain text quickly.
 SIGNS = (
-    f"[^\\x00-\\x7f{PLAIN}{CAPITALS}ªº³½§©«»“”…™¬]|[a-z][{CAPITALS}§¬]|[A-Z][{PLAIN}]"
-    "|[ÃÂ][ªº§©«»½³“”…™¬]|[A-Za-z][“”…«»³½©][a-z]|[0-9]¬"
+    f"(?=[^\\x00-\\x7f])(?:[^\\x00-\\x7f{PLAIN}{CAPITALS}ªº³½§©«»“”…™¬]|(?<=[a-z])[{CAPITALS}§¬]|(?<=[A-Z])[{PLAIN}]"
+    "|[ÃÂ][ªº§©«»½³“”…™¬]|(?<=[A-Za-z])[“”…«»³½©](?=[a-z])|(?<=[0-9])¬)"
 )
 
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: What no clean text has: only such values are kept from the sample that the dictionaries learn.
-PLAIN_SIGNS = "|".join((
+SPOILT = "|".join((
     f"[{chr(0xFFFD)}{chr(0x80)}-{chr(0x9F)}]",
     f"[ÂÃÎÏÐÑÅ][{chr(0x80)}-{chr(0xBF)}€‚ƒ„…†‡ˆ‰Š‹ŒŽ’•˜™š›œžŸ]|â[€„‚]",
     r"[─-▟√∫≠≥≤∂∑∏∆◊ıˆ˜¯˘˙˚¸˝˛ˇ⌐⌠⌡∙ⁿƒ†‡]|[¬Ô][Ç¢£§•¶ß®©™´¨]",
-    r"[þ¾¶¢£¤¥‚„±¦¨¬§]\p{L}|\p{L}[þ¾¶¢£¤¥¡‚„±¦¨¬§·]|\p{Ll}[À-Þ]",
+    f"[þ¾¶¢£¤¥‚„±¦¨¬§][{_LETTER}]|[{_LETTER}][þ¾¶¢£¤¥¡‚„±¦¨¬§·]|[a-zß-öø-ÿ][À-Þ]",
 ))
 
 #: Marks of a word broken at a line's end: no page turns them into a letter.
 BREAKS = ("¬", chr(0xAD))
 
-_PLAIN_SIGNS = regex.compile(PLAIN_SIGNS)
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
-_CASE = re.compile("[a-zß-öø-ÿ][A-ZÀ-ÖØ-Þ]|[A-ZÀ-ÖØ-Þ]{2}[a-zß-öø-ÿ]")
-_INSIDE = re.compile(r"[^\W\d_][¡-©«¬®-´¶-¹»-¿×÷‚„†‡•…‰‹›€™ˆ˜“”][^\W\d_]")
 _GAP = " \\t\\n\\r\\f\\v"
-#: A word that is not plain: an accent in lower case is, unless it follows a capital.
-_WORD = re.compile(f"[^{_GAP}]*?(?:[^\\x00-\\x7f{PLAIN}]|[A-Z][{PLAIN}])[^{_GAP}]*")
+_WORD = re.compile(f"[^{_GAP}]+")
+#: What makes a word not plain: anything beyond an accent in small letters that doesn't follow a capital.
+_MARK = re.compile(f"[^\\x00-\\x7f{PLAIN}]|(?<=[A-Z])[{PLAIN}]")
 _NEXT = re.compile(r"[ \t\n\r\f\v]+[^ \t\n\r\f\v]*")
 _LAST = re.compile(r"[^ \t\n\r\f\v]*[ \t\n\r\f\v]+$")
 
@@ -110,15 +116,13 @@ def redecode(word: str, wrong: str, right: str) -> str:
 class Restorer:
     """Chooses the chain of shortest description by zstandard dictionaries, one a language."""
 
-    def __init__(self, samples: list[str], size: int = DICTIONARY):
-        known = {k: set(v.split()) for k, v in COMMON.items()}
-        by: dict[str, list[bytes]] = {k: [] for k in known}
+    def __init__(self, samples: list[str], known: set[str], size: int = DICTIONARY):
+        small = {k: set(v.split()) for k, v in COMMON.items()}
+        by: dict[str, list[bytes]] = {k: [] for k in small}
         for t in samples:
             words = t.lower().split()
-            by[max(known, key=lambda k: (sum(w in known[k] for w in words), k == "pt"))].append(t.encode())
-        seen = Counter(c for t in samples for c in set(t))
-        self.cost = {c: RARE * (n < len(samples) / 20) for c, n in seen.items() if c > "~" and (n > 2 or len(samples) < 100)}
-        self.raw = []
+            by[max(small, key=lambda k: (sum(w in small[k] for w in words), k == "pt"))].append(t.encode())
+        self.known, self.raw = known, []
         for own in by.values():
             if sum(map(len, own)) > 4 * size and len(own) >= 32:
                 self.raw.append(zstandard.train_dictionary(size, own, k=256, d=8).as_bytes())
@@ -126,81 +130,120 @@ class Restorer:
             self.raw = [b"\n".join(x for own in by.values() for x in own)[-size:] or b"\n" * 16]
         self.packers: list = []
         self.sizes: dict[str, int] = {}
+        self.others: dict[str, dict[str, tuple]] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"packers": [], "sizes": {}}
+        return self.__dict__ | {"packers": [], "sizes": {}, "others": {}}
 
-    def length(self, text: str) -> int:
-        """Bytes that describe ``text``."""
+    def packed(self, text: str) -> int:
+        """Bytes of ``text`` under the better of the dictionaries."""
         if not self.packers:
             for raw in self.raw:
                 d = zstandard.ZstdCompressionDict(raw)
-                d.precompute_compress(level=3)
-                self.packers.append(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False))
+                d.precompute_compress(level=LEVEL)
+                self.packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False))
+        return min(len(p.compress(text.encode("utf-8", "replace"))) for p in self.packers)
+
+    def length(self, text: str) -> int:
+        """Bytes that describe ``text``."""
         if (n := self.sizes.get(text)) is None:
             if len(self.sizes) > 200_000:
                 self.sizes.clear()
-            n = min(len(p.compress(text.encode("utf-8", "replace"))) for p in self.packers)
-            n = self.sizes[text] = n + self.irregular(text)
+            n = self.sizes[text] = self.packed(text) + ESCAPE * sum(c > "~" and c not in self.known for c in text)
         return n
 
-    def irregular(self, text: str) -> int:
-        """What the dictionaries don't charge for: strange characters, changes of case and signs inside words."""
-        return sum(self.cost.get(c, NOVEL) for c in text if c > "~") + CASE * len(_CASE.findall(text)) + INSIDE * len(_INSIDE.findall(text))
-
-    def step(self, text: str) -> tuple[str, tuple[str, str]] | None:
-        """The best single link and what it makes of ``text``; None if no link shortens the description."""
-        spots = []
+    def described(self, left: str, word: str, tail: str) -> float:
+        """Bytes that describe a word in its context: the mean with both neighbours, either and none.
+
+        A compressor counts whole bytes and may end a match anywhere, so one length alone is off by a byte or two.
+        """
+        return (self.length(left + word + tail) + self.length(left + word) + self.length(word + tail) + self.length(word)) / 4
+
+    def decodings(self, word: str) -> dict[str, tuple]:
+        """What chains of up to ``LINKS`` links make of a word, and the shortest such chain.
+
+        Left out is what takes over ``SLACK`` bytes more than the word by itself: no context makes that up.
+        """
+        if (out := self.others.get(word)) is None:
+            if len(self.others) > 50_000:
+                self.others.clear()
+            out, level = {}, {word: ()}
+            chains = [c for c in CHAINS if c[1] == "utf-8"] if word.endswith(BREAKS) or word.count(chr(0xA0)) > 1 else CHAINS
+            for _ in range(LINKS):
+                following: dict[str, tuple] = {}
+                for w, chain in level.items():
+                    for link in chains:
+                        new = redecode(w, *link)
+                        if new != word and new not in out:
+                            out[new] = following[new] = (*chain, link)
+                level = following
+            most = self.length(word) + SLACK
+            out = self.others[word] = {new: chain for new, chain in out.items() if self.length(new) <= most}
+        return out
+
+    def restore(self, text: str) -> tuple[str, list[tuple]]:
+        """The text of shortest description and the chains that lead to it."""
+        spots, gains = [], {}
         for m in _WORD.finditer(text):
-            before = _LAST.search(text, max(0, m.start() - 20), m.start())
-            after = _NEXT.match(text, m.end(), m.end() + 20)
-            spots.append((m.start(), m.end(), m[0], before[0] if before else "", after[0] if after else ""))
-        best: tuple | None = None
-        for wrong, right in CHAINS:
-            gain, swaps, sure = -(COST_UTF8 if right == "utf-8" else COST_PAGE), [], right == "utf-8"
-            for a, b, word, left, tail in spots:
-                if (new := redecode(word, wrong, right)) == word or (better := self.irregular(word) - self.irregular(new)) < 0:
-                    continue
-                if right != "utf-8" and (word.endswith(BREAKS) or word.count(chr(0xA0)) > 1):
-                    continue
-                less = self.length(left + word + tail) - self.length(left + new + tail)
-                fits = right == "utf-8" or less >= 0
-                # a page turns letters into letters: it has to be told by a sign that it takes away
-                sure |= fits and better > 0 and (less - better >= 2 or better >= NOVEL) and sum(c.isalpha() for c in new) > 2
-                if fits:
-                    gain += less
-                    swaps.append((a, b, new))
-            if swaps and sure and gain > 0 and (best is None or gain > best[0]):
-                best = gain, swaps, (wrong, right)
-        if best is None:
-            return None
+            if m[0].isascii() or not _MARK.search(m[0]):
+                continue
+            k = len(spots)
+            before = _LAST.search(text, max(0, m.start() - CONTEXT), m.start())
+            after = _NEXT.match(text, m.end(), m.end() + CONTEXT)
+            left, tail = before[0] if before else "", after[0] if after else ""
+            spots.append((m.start(), m.end()))
+            now = None
+            for new, chain in self.decodings(m[0]).items():
+                now = self.described(left, m[0], tail) if now is None else now
+                if (less := now - self.described(left, new, tail)) >= 0:
+                    gains.setdefault(chain, {})[k] = less, new
+        cost = {c: sum(COST_UTF8 if right == "utf-8" else COST_PAGE for _, right in c) for c in gains}
+        swaps: dict[int, str] = {}
+        used = []
+        while gains:
+            total = {c: sum(less for k, (less, _) in own.items() if k not in swaps) - cost[c] for c, own in gains.items()}
+            best = max(total, key=lambda c: (total[c], -len(c), c))
+            if total[best] <= 0:
+                break
+            for k, (_, new) in gains.pop(best).items():
+                swaps.setdefault(k, new)
+            used.append(best)
         out, last = [], 0
-        for a, b, new in best[1]:
-            out += [text[last:a], new]
-            last = b
-        return "".join(out) + text[last:], best[2]
-
-    def restore(self, text: str) -> tuple[str, list[tuple[str, str]]]:
-        """The text of shortest description and the links that lead to it."""
-        links = []
-        while len(links) < LINKS and (found := self.step(text)):
-            text = found[0]
-            links.append(found[1])
-        return text, links
+        for k, (a, b) in enumerate(spots):
+            if k in swaps:
+                out += [text[last:a], swaps[k]]
+                last = b
+        return "".join(out) + text[last:], used
 
 
 def fit(df: DataFrame, columns: list[str]) -> Restorer:
-    """Dictionaries from about ``SAMPLE`` values, those whose row's hash is least, without the ones that look garbled."""
-    values = df.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("v"), F.pmod(F.xxhash64(*columns), F.lit(1_000_000)).alias("h"))
-    share = min(1.0, SAMPLE / max(1, df.count() * len(columns)))
-    rows = values.where((F.col("h") < max(1, round(share * 1_000_000))) & F.col("v").isNotNull()).limit(2 * SAMPLE).collect()
-    return Restorer([r.v for r in rows if not _PLAIN_SIGNS.search(r.v)])
+    """Dictionaries from the clean ones of the ``2 * SAMPLE`` distinct values of least hash, ``SAMPLE`` at most.
+
+    The known characters are those of plain text and what one in ``KNOWN`` values has, counted over all clean values.
+    """
+    values = df.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("v")).where("v IS NOT NULL").withColumn("h", F.xxhash64("v"))
+    least = values.select("h").distinct().orderBy("h").limit(2 * SAMPLE).agg(F.max("h"), F.count("*")).first()
+    near = values.where(F.col("h") <= F.lit(least[0])).groupBy("h").agg(F.min("v").alias("v")) if least[1] else values
+    first = near.where(~F.col("v").rlike(SPOILT)).orderBy("h").limit(SAMPLE).collect()
+    spoilt, plain = re.compile(SPOILT), {chr(c) for c in range(127)} | {*PLAIN, *CAPITALS}
+
+    def beyond(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[str] = Counter()
+        for part in batches:
+            for v in part.column(0).to_pylist():
+                if not spoilt.search(v):
+                    n.update(set(v) - plain)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["c", "n"])
+
+    each = values.where(F.col("v").rlike(f"[^\\x00-\\x7f{PLAIN}{CAPITALS}]")).select("v").mapInArrow(beyond, "c string, n long")
+    seen = each.groupBy("c").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST) & (F.col("n") * KNOWN >= values.count()))
+    return Restorer([r.v for r in first], {*PLAIN, *CAPITALS, *(r.c for r in seen.collect())})
 
 
 def restored(spark: SparkSession, df: DataFrame, key: str = "id", columns: tuple[str, ...] = ("texto", "arquivo")) -> DataFrame:
     """``id``, ``campo``, ``original``, ``cadeia`` and ``perdido`` of every garbled field.
 
-    ``cadeia`` is null where no chain helps; ``perdido`` tells that replacement characters are left.
+    ``cadeia`` has the chains that were applied, null where none helps; ``perdido`` tells that replacement characters are left.
     """
     shared = spark.sparkContext.broadcast(fit(df, [*columns]))
     each = df.select(F.col(key).alias("id"), F.explode(F.array(*[F.struct(F.lit(c).alias("campo"), F.col(c).alias("valor")) for c in columns])).alias("x"))
@@ -216,7 +259,7 @@ def restored(spark: SparkSession, df: DataFrame, key: str = "id", columns: tuple
                 if links or gone:
                     keep.append(i)
                     texts.append(text)
-                    chains.append(" > ".join(f"{w}:{r}" for w, r in links) or None)
+                    chains.append(", ".join(" > ".join(f"{w}:{r}" for w, r in chain) for chain in links) or None)
                     lost.append(gone)
             out = rows.take(pa.array(keep, pa.int32()))
             yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), pa.array(texts, pa.string()), pa.array(chains, pa.string()), pa.array(lost, pa.bool_())], names=["id", "campo", "original", "cadeia", "perdido"])

@@ -34,11 +34,28 @@ def test_lookalike_consistent(spark, odd):
     assert got[12, "texto"] == ("palavra " * 30_000) + "fim"
 
 
+def _canonical(spark, forms, words):
+    pieces, known = spark.createDataFrame([(f,) for f in forms], "peca string"), spark.createDataFrame(words, "palavra string, n long")
+    return {r.peca: r.canonica for r in lookalike.canonical(spark, pieces, known).collect()}
+
+
 def test_lookalike_canonical_is_one_a_class(spark):
     forms = ["ação", "ac" + chr(0x327) + "a" + chr(0x303) + "o", "aç" + chr(0x200B) + "ão"]
-    df = spark.createDataFrame([(f,) for f in forms], "peca string")
-    got = {r.peca: r.canonica for r in lookalike.canonical(spark, df).collect()}
-    assert got == {forms[1]: "ação", forms[2]: "ação"}
+    assert _canonical(spark, forms, [("acao", 90), ("Ação", 80)]) == {forms[1]: "ação", forms[2]: "ação"}
+
+
+def test_the_corpus_reads_letters_that_look_like_two(spark):
+    forms = ["υalor", "υnidade", "Іuz", "Іvo", "vаlor"]
+    got = _canonical(spark, forms, [("valor", 50), ("ualor", 1), ("unidade", 40), ("vnidade", 1), ("luz", 30), ("Iuz", 1), ("Ivo", 9), ("lvo", 1)])
+    assert got == {"υalor": "valor", "υnidade": "unidade", "Іuz": "luz", "Іvo": "Ivo", "vаlor": "valor"}
+    assert lookalike.mapped_form("υalor") == "ualor" and lookalike.mapped_form("Іuz") == "Iuz"
+    assert _canonical(spark, ["uаlor"], [("valor", 50)]) == {"uаlor": "ualor"}  # a plain u is no v, however frequent
+
+
+def test_lookalike_map_by_rules():
+    pairs = {"ʀua": "rua", "pꜱo": "pso", "ᎪÇÃO": "AÇÃO", "ℓuz": "luz", "Ⅳ": "IV", "①": "1", "ｃasa": "casa", "ﬁm": "fim"}
+    assert {k: lookalike.mapped_form(k) for k in pairs} == pairs
+    assert all(lookalike.mapped_form(x) == x for x in ("ℓ", "5ℓ", "kΩ", "№", "™", "м²", "Дружба"))
 
 
 def test_lookalike_empty(spark, odd):
@@ -77,6 +94,41 @@ def test_mojibake(spark, garbled):
     assert mojibake.found(spark, garbled).count() == 9
 
 
+def test_the_dictionaries_decide(spark, monkeypatch):
+    # a code page that turns letters into other known letters: only what the language is like tells which reading is right
+    good = "a conta elétrica do prédio {} cobre o café, É SÉRIE ÚTIL"
+    df = spark.createDataFrame([(good.format(i), f"elétrica-{i}.pdf") for i in range(300)], "texto string, arquivo string")
+    wrong = [good.format(i).replace("É", "E").replace("Ú", "U").encode("cp1252").decode("cp850") for i in range(900, 910)]
+    assert "elÚtrica do prÚdio" in wrong[0]
+
+    def restored() -> int:
+        model = mojibake.fit(df, ["texto", "arquivo"])
+        assert set("éÚÉ") <= model.known
+        return sum("elétrica do prédio" in model.restore(t)[0] for t in wrong)
+
+    with_them = restored()
+    monkeypatch.setattr(mojibake.Restorer, "packed", lambda self, text: 0)
+    assert (with_them, restored()) == (10, 0)
+
+
+def test_chains_of_three_links_and_mixed_fields(spark, garbled):
+    model = mojibake.fit(garbled, ["texto", "arquivo"])
+    thrice = GOOD.format(1, 1)
+    for _ in range(3):
+        thrice = thrice.encode().decode("latin-1")
+    assert model.restore(thrice)[0] == GOOD.format(1, 1)
+    mixed = GOOD.format(1, 1) + " " + GOOD.format(2, 2).encode().decode("cp850") + " " + GOOD.format(3, 3).encode().decode("cp1252", "ignore")
+    text, chains = model.restore(mixed)
+    assert text.startswith(GOOD.format(1, 1) + " " + GOOD.format(2, 2)) and len(chains) == 2
+    assert model.restore(GOOD.format(1, 1)) == (GOOD.format(1, 1), [])
+
+
+def test_the_sample_takes_equal_values_once(spark):
+    rows = [("igual a todos os outros", "a.pdf")] * 500 + [(GOOD.format(i, i), f"b{i}.pdf") for i in range(50)]
+    df = spark.createDataFrame(rows, "texto string, arquivo string")
+    assert mojibake.fit(df.repartition(1), ["texto", "arquivo"]).raw == mojibake.fit(df.repartition(9), ["texto", "arquivo"]).raw
+
+
 def test_mojibake_empty(spark, garbled):
     assert mojibake.found(spark, garbled.where("false")).collect() == []
     assert mojibake.found(spark, garbled.where("texto IS NULL")).collect() == []
