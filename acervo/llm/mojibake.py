@@ -8,7 +8,9 @@ chain with the shortest description is applied to the words that it does not mak
 are left, while the total gets shorter; otherwise the field stays unchanged.
 
 A field that holds the replacement character is a case whatever its description: nothing can restore what it stands for.
-A mark of a word broken at a line's end, and words between no-break spaces, are not read by another code page.
+A mark of a word broken at a line's end, and words between no-break spaces, are not read by another code page; a word that may
+be written with imitated characters (problem 1) speaks for a page only if that is shorter than its usual form, too, and a word of
+less than two letters never does; both are read by the page that the other words of their field speak for.
 
 The dictionaries are the only fitted model: they are trained from the ``SAMPLE`` distinct clean values of least hash, so the
 bound doesn't grow with the data and equal values count once; they are broadcast (``DICTIONARY`` bytes each).  What a
@@ -30,10 +32,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lookalike import ODD, mapped_form
+
 SAMPLE, DICTIONARY, LEVEL = 4_000, 64 * 1024, 19
 LINKS = 3
 #: Bytes that a link costs: one that yields UTF-8 is checked by its own form, one between two code pages is not.
-COST_UTF8, COST_PAGE = 1, 2
+COST_UTF8, COST_PAGE = 1, 1.5
 #: Bytes that a character costs besides if fewer than one in ``KNOWN`` values, or than ``LEAST``, is clean and has it.
 ESCAPE, KNOWN, LEAST = 2, 1_300, 3
 #: Bytes more by itself that a reading may take to be tried in context.
@@ -71,6 +75,7 @@ SPOILT = "|".join((
 BREAKS = ("¬", chr(0xAD))
 
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+_ODD = re.compile(ODD)
 _GAP = " \\t\\n\\r\\f\\v"
 _WORD = re.compile(f"[^{_GAP}]+")
 #: What makes a word not plain: anything beyond an accent in small letters that doesn't follow a capital.
@@ -192,16 +197,24 @@ class Restorer:
             after = _NEXT.match(text, m.end(), m.end() + CONTEXT)
             left, tail = before[0] if before else "", after[0] if after else ""
             spots.append((m.start(), m.end()))
-            now = None
-            for new, chain in self.decodings(m[0]).items():
-                now = self.described(left, m[0], tail) if now is None else now
-                if (less := now - self.described(left, new, tail)) >= 0:
+            others = self.decodings(m[0])
+            if not others:
+                continue
+            now = usual = self.described(left, m[0], tail)
+            if _ODD.search(m[0]):  # it may be problem 1's: a page has to be better than the usual characters, too
+                usual = min(now, self.described(left, mapped_form(m[0]), tail))
+            if sum(map(str.isalpha, m[0])) < 2:
+                usual = 0  # a sign by itself doesn't speak for a page
+            for new, chain in others.items():
+                size = self.described(left, new, tail)
+                if size <= now:
+                    less = (now if all(right == "utf-8" for _, right in chain) else usual) - size
                     gains.setdefault(chain, {})[k] = less, new
         cost = {c: sum(COST_UTF8 if right == "utf-8" else COST_PAGE for _, right in c) for c in gains}
         swaps: dict[int, str] = {}
         used = []
         while gains:
-            total = {c: sum(less for k, (less, _) in own.items() if k not in swaps) - cost[c] for c, own in gains.items()}
+            total = {c: sum(max(0, less) for k, (less, _) in own.items() if k not in swaps) - cost[c] for c, own in gains.items()}
             best = max(total, key=lambda c: (total[c], -len(c), c))
             if total[best] <= 0:
                 break
