@@ -6,9 +6,14 @@
 * pagina: lines that hold a page number and nothing else.
 * hifenizacao: a word that a mark breaks at a line's end, unless the corpus writes it with its own hyphen.
 
-One pass over the texts (Arrow batches) counts words and neighbouring pairs and nominates rare spellings; counts are kept
-by segment of at most ``SEGMENT`` texts and summed over all segments, so every text counts and no task holds more than a
-segment's tokens.  Everything after that is joins on words and SQL windows over the lines of the affected texts.
+A first pass over the texts (Arrow batches) counts all words and all neighbouring pairs, added up within segments of at most
+``SEGMENT`` texts and then over all of them, so how texts are split changes nothing.  The classes then tell which spellings
+are rare; a second pass gives the neighbours of their occurrences, found by a bitmap of their hashes of a fixed size
+(``BITS``) and made exact by a join.  Everything after that is joins on words and SQL windows over the lines of the affected
+texts.  A pair of neighbours is known by the hash of its words and supports a form if the corpus has it twice.
+
+A header has ``HEADER`` characters at least and at most: longer lines that come again are paragraphs.  Words of up to three
+characters are corrected only if they hold a digit or sign, and only if both neighbours support the form.
 
 Defined cases: null, empty and blank texts have no noise; a text of one line can have misread characters only; pure
 numbers and codes are never corrected; missing or swapped letters have another skeleton and stay; ties between forms of a
@@ -24,6 +29,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,6 +41,8 @@ SEGMENT = 20_000
 #: A form has to be so many times as frequent as a rare spelling of its class that is made of letters only, or that holds
 #: a digit or sign between letters.
 RATIO_LETTERS, RATIO_SIGNS = 30, 3
+HEADER = 8, 90
+BITS = 1 << 24
 
 # Glyphs that scanners confuse, longer ones first; and line marks.
 GROUPS = (("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("vv", "w"))
@@ -42,11 +50,6 @@ SINGLES = str.maketrans({
     "0": "o", "1": "i", "l": "i", "|": "i", "5": "s", "$": "s", "9": "g", "q": "g", "@": "a", "4": "a", "+": "t", "7": "t",
     "e": "c", "3": "c", "8": "b", "6": "b", "2": "z", "ä": "ã", "ö": "õ", "ü": "ú",
 })
-SIGNS = 30, 3
-
-# Glyphs that scanners confuse, longer ones first; and line marks.
-GROUPS = (("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("vv", "w"))
-SINGLES = str.maketrans("0o1il|5s$9gq@a4+t7e3c8b62zäãöõ", "ooiiiisssgggaaatttcccbbbzzãããõõ"[:30])
 SIGNS = "0123456789|@+$"
 MARK = "-¬" + chr(0xAD) + chr(0x2010)
 
@@ -91,7 +94,7 @@ def page_lines(lines: list[str]) -> list[int]:
     """Positions of the lines that hold nothing but a page number; bare numbers count from two in sequence."""
     out, bare = [], []
     for i, line in enumerate(lines):
-        if 0 < len(line) < 24:
+        if line:
             if PAGE.fullmatch(line):
                 out.append(i)
             elif _BARE.fullmatch(line):
@@ -104,7 +107,7 @@ def header_lines(lines: list[str]) -> list[int]:
     """Positions of the lines whose form comes again in the text, has two words or more and never goes on a sentence."""
     at: dict[str, list[int]] = defaultdict(list)
     for i, line in enumerate(lines):
-        if 8 <= len(line) <= 90:
+        if HEADER[0] <= len(line) <= HEADER[1]:
             at[line_form(line)].append(i)
     found = []
     for form, where in at.items():
@@ -117,15 +120,18 @@ def header_lines(lines: list[str]) -> list[int]:
 def halves(text: str) -> Iterator[tuple[int, int, str, str]]:
     """Where a word that a mark breaks at a line's end begins and its line ends, its left half and the mark."""
     for m in _END.finditer(text):
-        if left := _LEFT.search(text, max(0, m.start() - 60), m.start()):
-            yield left.start(), m.end(), left[0], m[1]
+        line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
+        word = line[len(line) - len(line.split()[-1]) :] if line and not line[-1].isspace() else ""
+        if left := _LEFT.search(word):
+            yield m.start() - len(left[0]), m.end(), left[0], m[1]
 
 
 def breaks(text: str) -> Iterator[tuple[str, str, str]]:
     """Left half, mark and right half of each word that a mark breaks at a line's end."""
     for _, end, left, mark in halves(text):
-        for line in text[end : end + 400].split("\n", 4)[:4]:
-            line = line.strip()
+        while end < len(text):
+            to = text.find("\n", end)
+            line, end = text[end : to if to >= 0 else None].strip(), to + 1 if to >= 0 else len(text)
             if line and not PAGE.fullmatch(line):
                 right = _FIRST.match(line)
                 word = right[0].rstrip(".-") if right else ""
@@ -145,69 +151,72 @@ def unbroken(text: str) -> str:
     return " ".join([*out, text[last:]])
 
 
+def hashed(word: str) -> int:
+    """The hash of a word, the same that Spark's ``xxhash64`` gives."""
+    h = xxhash.xxh64_intdigest(word.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def pair_hash(left, right):
+    """The hash of two neighbours from the hashes of their words, in numpy or in Spark."""
+    if isinstance(left, np.ndarray):
+        return (left << np.int64(1)) ^ right
+    return F.shiftleft(left, 1).bitwiseXOR(right)
+
+
 class Segment:
     """Words of up to ``SEGMENT`` texts."""
 
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
-        self.texts: list[tuple[object, np.ndarray]] = []
+        self.texts: list[np.ndarray] = []
 
-    def add(self, key: object, text: str) -> None:
+    def add(self, text: str) -> None:
         number = self.number
-        own = [number.setdefault(w, len(number)) for w in _WORD.findall(unbroken(text))]
-        self.texts.append((key, np.array(own, np.int32)))
+        self.texts.append(np.array([number.setdefault(w, len(number)) for w in _WORD.findall(unbroken(text))], np.int32))
 
-    def rows(self) -> Iterator[tuple]:
-        """Counts of words and pairs, and occurrences of spellings that another form of their class outnumbers here."""
+    def words(self) -> Iterator[tuple]:
+        """The words that can be corrected or correct others, their classes and counts."""
         words = list(self.number)
-        flat = np.concatenate([*(t for _, t in self.texts), np.zeros(0, np.int32)])
-        counts = np.bincount(flat, minlength=len(words))
-        good = np.array([len(w) > 3 and len(_LETTERS.findall(w)) > 2 for w in words], bool)
-        classes: dict[str, list[int]] = defaultdict(list)
-        for i in np.flatnonzero(good).tolist():
-            classes[skeleton(words[i])].append(i)
-        rare = np.zeros(len(words), bool)
-        for own in classes.values():
-            if len(own) > 1:
-                most = max(counts[i] for i in own)
-                for i in own:
-                    rare[i] = counts[i] < most or any(c in SIGNS for c in words[i][1:])
-            elif any(c in SIGNS for c in words[own[0]]):
-                rare[own[0]] = True
-        for s, own in classes.items():
-            for i in own:
-                yield "p", None, words[i].casefold(), s, None, None, int(counts[i])
-        pairs = []
-        for key, own in self.texts:
-            at = np.flatnonzero(rare[own]) if len(own) else ()
-            for i in at:
-                left = words[own[i - 1]].casefold() if i else ""
-                right = words[own[i + 1]].casefold() if i + 1 < len(own) else ""
-                yield "s", key, words[own[i]].casefold(), None, left, right, 1
-            pairs.append(own[:-1].astype(np.int64) << 32 | own[1:])
-        both, times = np.unique(np.concatenate([*pairs, np.zeros(0, np.int64)]), return_counts=True)
-        a, b = both >> 32, both & 0xFFFFFFFF
-        often = (times > 1) & (good[a] | good[b])
-        for x, y, n in zip(a[often].tolist(), b[often].tolist(), times[often].tolist(), strict=True):
-            yield "b", None, words[x].casefold(), None, None, words[y].casefold(), n
+        counts = np.bincount(np.concatenate([*self.texts, np.zeros(0, np.int32)]), minlength=len(words))
+        for w, n in zip(words, counts.tolist(), strict=True):
+            if _LETTERS.search(w):
+                yield "p", None, w.casefold(), skeleton(w), None, None, n
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and counts of all pairs of neighbours."""
+        own = np.array([hashed(w.casefold()) for w in self.number], np.int64)
+        flat = [pair_hash(own[t[:-1]], own[t[1:]]) for t in self.texts if len(t) > 1]
+        return np.unique(np.concatenate([*flat, np.zeros(0, np.int64)]), return_counts=True)
 
 
 def signals(spark: SparkSession, df: DataFrame, key: str, text: str, work: Workspace) -> DataFrame:
-    """One pass over all texts: counts (p, b), nominated spellings (s), broken words (h), page numbers and headers (l)."""
+    """The first pass: counts of words (p) and of pairs (b, by hash in ``n``), broken words (h), page numbers and headers (l)."""
     kind = df.schema[key].dataType.simpleString()
-    schema = f"tipo string, id {kind}, palavra string, classe string, antes string, depois string, n long"
+    schema = f"tipo string, id {kind}, palavra string, classe string, antes string, depois string, n long, vezes long"
     arrow_key = pa.int64() if kind == "bigint" else None
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
         types = [pa.string(), arrow_key, *[pa.string()] * 4, pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["tipo", "id", "palavra", "classe", "antes", "depois", "n"])
+        out = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+        return pa.RecordBatch.from_arrays([*out, pa.nulls(len(rows), pa.int64())], names=["tipo", "id", "palavra", "classe", "antes", "depois", "n", "vezes"])
+
+    def sums(segment: Segment) -> Iterator[pa.RecordBatch]:
+        rows = list(segment.words())
+        for i in range(0, len(rows), 50_000):
+            yield pack(rows[i : i + 50_000])
+        both, times = segment.pairs()
+        for i in range(0, len(both), 100_000):
+            n = len(both[i : i + 100_000])
+            none = [pa.nulls(n, arrow_key or pa.string()), *[pa.nulls(n, pa.string())] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(["b"] * n), *none, pa.array(both[i : i + n]), pa.array(times[i : i + n])], names=["tipo", "id", "palavra", "classe", "antes", "depois", "n", "vezes"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, out = Segment(), []
         for part in batches:
             for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                segment.add(k, t)
+                segment.add(t)
                 if "\n" in t:
                     lines = [x.strip() for x in re.split(r"[\n\f\v]", t)]
                     if pages := set(page_lines(lines)):
@@ -216,36 +225,77 @@ def signals(spark: SparkSession, df: DataFrame, key: str, text: str, work: Works
                         out.append(("l", k, "cabecalho", None, None, None, len(heads)))
                     for a, mark, b in breaks(t):
                         out.append(("h", k, (a + b).casefold(), None, mark, f"{a}-{b}".casefold(), 1))
-            if len(segment.texts) >= SEGMENT:
-                out += segment.rows()
-                segment = Segment()
+                if len(segment.texts) >= SEGMENT:
+                    yield from sums(segment)
+                    segment = Segment()
             if len(out) > 5_000:
                 yield pack(out)
                 out = []
-        out += segment.rows()
-        for i in range(0, len(out), 50_000):
-            yield pack(out[i : i + 50_000])
+        yield pack(out)
+        yield from sums(segment)
 
     texts = df.select(key, text).where(F.length(F.trim(F.col(text))) > 0)
     return work.save(texts.mapInArrow(run, schema), "signals")
 
 
-def misread(seen: DataFrame, work: Workspace) -> DataFrame:
+def occurrences(spark: SparkSession, df: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
+    """The second pass: ``id``, ``palavra``, ``antes``, ``depois`` of every occurrence of the words of ``words``."""
+    kind = df.schema[key].dataType.simpleString()
+    at = F.pmod(F.xxhash64("palavra"), F.lit(BITS))
+    blocks = words.select(F.bitmap_bucket_number(at).alias("bloco"), F.bitmap_bit_position(at).alias("bit"))
+    bits = np.zeros(BITS + (1 << 15), bool)
+    for r in blocks.groupBy("bloco").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        own = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+        start = (r.bloco - 1) * (1 << 15) + 1 if r.bloco else 0
+        bits[start : start + len(own)] |= own.astype(bool)[: len(bits) - start]
+    shared = spark.sparkContext.broadcast(np.packbits(bits))
+
+    class Known(dict):
+        def __missing__(self, word: str) -> bool:
+            if len(self) > 300_000:
+                self.clear()
+            i = hashed(word.casefold()) % BITS
+            known = self[word] = bool(shared.value[i >> 3] >> (7 - (i & 7)) & 1)
+            return known
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
+        for part in batches:
+            rows, words, before, after = [], [], [], []
+            for k, t in enumerate(part.column(1).to_pylist()):
+                own = _WORD.findall(unbroken(t))
+                for i, w in enumerate(own):
+                    if known[w]:
+                        rows.append(k)
+                        words.append(w.casefold())
+                        before.append(own[i - 1].casefold() if i else "")
+                        after.append(own[i + 1].casefold() if i + 1 < len(own) else "")
+            ids = part.column(0).take(pa.array(rows, pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(x, pa.string()) for x in (words, before, after)]], names=["id", "palavra", "antes", "depois"])
+
+    texts = df.select(key, text).where(F.length(F.trim(F.col(text))) > 0)
+    return texts.mapInArrow(run, f"id {kind}, palavra string, antes string, depois string")
+
+
+def misread(spark: SparkSession, df: DataFrame, key: str, text: str, seen: DataFrame, work: Workspace) -> DataFrame:
     """``id``, ``palavra``, ``forma`` of the misread spellings that their neighbours support."""
     words = seen.where("tipo = 'p'").groupBy("classe", "palavra").agg(F.sum("n").alias("n"))
-    words = work.save(words, "words")
     odd = F.col("palavra").rlike(r"[\p{L}][0-9|@+$]|[0-9|@+$][\p{L}]")
+    long = (F.length("palavra") > 3) & (F.length(F.regexp_replace("palavra", r"[^\p{L}]", "")) > 2)
+    words = work.save(words.where(long | (F.length("palavra") < 4)).withColumn("curta", ~long), "words")
     plain = words.where(~odd)
     best = plain.groupBy("classe").agg(F.max_by(F.struct(F.col("palavra").alias("forma"), F.col("n").alias("nf")), F.struct("n", "palavra")).alias("b")).select("classe", "b.*")
     ratio = F.when(odd, F.lit(RATIO_SIGNS)).otherwise(RATIO_LETTERS)
-    swaps = words.join(best, "classe").where((F.col("palavra") != F.col("forma")) & (F.col("nf") >= ratio * F.col("n"))).select("palavra", "forma")
-    each = seen.where("tipo = 's'").join(swaps, "palavra").select("id", "palavra", "forma", "antes", "depois").distinct()
-    each = work.save(each, "nominated")
-    pairs = seen.where("tipo = 'b'").groupBy("palavra", "depois").agg(F.sum("n").alias("n"))
-    pairs = work.save(pairs, "pairs")
-    left = each.join(pairs.select(F.col("palavra").alias("antes"), F.col("depois").alias("forma")), ["antes", "forma"], "left_semi")
-    right = each.join(pairs.select(F.col("palavra").alias("forma"), "depois"), ["forma", "depois"], "left_semi")
-    return left.select("id", "palavra", "forma").union(right.select("id", "palavra", "forma")).distinct()
+    swaps = words.where(~F.col("curta") | odd).join(best, "classe").where((F.col("palavra") != F.col("forma")) & (F.col("nf") >= ratio * F.col("n")))
+    swaps = work.save(swaps.select("palavra", "forma", "curta"), "swaps")
+    each = occurrences(spark, df, key, text, swaps.select("palavra")).join(swaps, "palavra").distinct()
+    hash_ = {c: F.xxhash64(c) for c in ("antes", "forma", "depois")}
+    left, right = pair_hash(hash_["antes"], hash_["forma"]), pair_hash(hash_["forma"], hash_["depois"])
+    each = work.save(each.select("id", "palavra", "forma", "curta", left.alias("esquerda"), right.alias("direita")), "nominated")
+    pairs = seen.where("tipo = 'b'").groupBy("n").agg(F.sum("vezes").alias("vezes")).where("vezes > 1").select(F.col("n").alias("par"))
+    both = each.select("id", "palavra", "forma", "curta", F.explode(F.array("esquerda", "direita")).alias("par"), "esquerda", "direita")
+    known = both.join(pairs, "par", "left_semi").groupBy("id", "palavra", "forma", "curta", "esquerda", "direita").agg(F.countDistinct("par").alias("lados"))
+    return known.where("NOT curta OR lados = 2").select("id", "palavra", "forma").distinct()
 
 
 def broken(seen: DataFrame) -> DataFrame:
@@ -263,9 +313,9 @@ def found(spark: SparkSession, df: DataFrame, key: str = "id", text: str = "text
     work = Workspace(spark, "scans")
     seen = signals(spark, df, key, text, work)
     lines = seen.where("tipo = 'l'").select("id", F.col("palavra").alias("tipo"))
-    letters = misread(seen, work).select("id", F.lit("caractere").alias("tipo"))
+    letters = misread(spark, df, key, text, seen, work).select("id", F.lit("caractere").alias("tipo"))
     marks = broken(seen).select("id", F.lit("hifenizacao").alias("tipo"))
-    return lines.union(letters).union(marks).distinct().withColumnRenamed("id", key)
+    return work.finish(lines.union(letters).union(marks).distinct().withColumnRenamed("id", key))
 
 
 def repaired(spark: SparkSession, df: DataFrame, key: str = "id", text: str = "texto") -> DataFrame:
@@ -275,7 +325,7 @@ def repaired(spark: SparkSession, df: DataFrame, key: str = "id", text: str = "t
     """
     work = Workspace(spark, "scans")
     seen = signals(spark, df, key, text, work)
-    letters = misread(seen, work).groupBy("id", "palavra").agg(F.min("forma").alias("forma"))
+    letters = misread(spark, df, key, text, seen, work).groupBy("id", "palavra").agg(F.min("forma").alias("forma"))
     letters = letters.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("palavra", "forma"))).alias("trocas"))
     joined = broken(seen).groupBy("id").agg(F.collect_set("composta").alias("partidas"))
     kinds = seen.where("tipo = 'l'").select("id").distinct().withColumn("linhas", F.lit(True))
