@@ -101,4 +101,4 @@ def leaks(
     lane = W.partitionBy("id", "item", "desvio").orderBy("q")
     runs = runs.withColumn("trecho", F.col("q") - F.row_number().over(lane))
     whole = runs.groupBy("id", "item", "desvio", "trecho").agg(F.count("*").alias("c")).where(F.col("c") >= held)
-    return whole.select(F.col("id").alias(key), F.col("item").alias(item)).distinct()
+    return work.finish(whole.select(F.col("id").alias(key), F.col("item").alias(item)).distinct(), "leaks")
