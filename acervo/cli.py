@@ -8,8 +8,8 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from acervo.operators.search import listing, printed, search
-from acervo.sources.config import Config
-from acervo.streaming.watch import ingest_folder, open_index, watch
+from acervo.sources.config import read_settings
+from acervo.streaming.watch import ingest_folder, open_index, successes, watch
 
 VERSION = "0.1.0"
 
@@ -32,18 +32,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     find.add_argument("--limite", type=int, default=20)
     commands.add_parser("listar").add_argument("--limite", type=int, default=20)
     args = parser.parse_args(argv)
-    config = Config.load(args.config)
-    config.make_folders()
+    settings = read_settings(args.config) if args.config else read_settings()
     spark = spark or SparkSession.builder.appName("acervo").getOrCreate()
-    index = open_index(spark, str(config.banco))
+    settings.make_folders(spark)
+    index = open_index(spark, settings.index)
     if args.comando == "buscar":
         show(search(index, args.termo, args.limite))
     elif args.comando == "listar":
         show(listing(index, args.limite))
     else:
-        ingest_folder(spark, config)
+        if done := successes(ingest_folder(spark, settings)):
+            print(f"{done} documento(s) pendente(s) processado(s)")
         if not args.uma_vez:
-            query = watch(spark, config, f"{config.banco}-checkpoint")
+            query = watch(spark, settings, f"{settings.index}-checkpoint")
             try:
                 query.awaitTermination()
             except KeyboardInterrupt:

@@ -32,6 +32,15 @@ def with_category(df: DataFrame, text: str, name: str = "categoria") -> DataFram
     return df.withColumn("_pontos", scores(F.col(text))).withColumn(name, winner(F.col("_pontos"))).drop("_pontos")
 
 
+def matched_terms(text: Column, category: Column) -> Column:
+    """The terms of a row's category that a normalised text holds, joined in the order of the rules."""
+    out = F.lit("")
+    for name, terms in RULES:
+        own = F.array_compact(F.array(*[F.when(has_word(text, t), F.lit(t)) for t, _ in terms]))
+        out = F.when(category == name, F.array_join(own, ", ")).otherwise(out)
+    return out
+
+
 def rule_rows() -> Column:
     """The rule base as an array of (categoria, ordem, termo, peso)."""
     rows = [(c, i + 1, t, w) for i, (c, terms) in enumerate(RULES) for t, w in terms]

@@ -38,7 +38,7 @@ def normalized(text: Column) -> Column:
 
 def has_word(text: Column, term: str) -> Column:
     """Whether ``term`` stands in a normalised text as a whole word or words."""
-    return text.rlike(rf"{EDGE_BEFORE}\Q{term}\E{EDGE_AFTER}")
+    return text.contains(term) & text.rlike(rf"{EDGE_BEFORE}\Q{term}\E{EDGE_AFTER}")
 
 
 @lru_cache(1)
@@ -74,3 +74,9 @@ def stem(name: Column) -> Column:
 def suffix(name: Column) -> Column:
     """The last extension with its dot, or the empty string."""
     return F.regexp_extract(name, r"(?s)^(.+)(\.[^.]+)$", 2)
+
+
+def human_size(size: Column) -> Column:
+    """A number of bytes in B, KB or MB, with a decimal comma."""
+    mega = F.replace(F.format_string("%.1f", F.round(size / (1 << 20), 1)), F.lit("."), F.lit(","))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, F.concat(F.floor(size / 1024 + 0.5).cast("string"), F.lit(" KB"))).otherwise(F.concat(mega, F.lit(" MB")))

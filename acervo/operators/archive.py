@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from acervo.functions.text import stem, suffix
@@ -34,7 +33,8 @@ def free_names(files: DataFrame, taken: DataFrame, order: list[str], work: Works
 
     ``taken`` has ``place`` and ``nome``.  Of the numbers 1, 2, ... that stand for a name and its variants, the ``k``-th
     file gets the ``k``-th that is not taken: ``k`` plus the taken numbers with fewer than ``k`` free ones before them.
-    Both are ordinals and one running count, so a name that many files share is spread over tasks.
+    Sorted by that test, the files and the taken numbers of a name are one sequence, and a file's place in it is its number:
+    both steps are ordinals, so a name that many files share is spread over tasks.
     """
     ours = ordinals(files, [place, name], order, "_k", work)
     variant = r"(?s)^(.*) \((\d{1,9})\)(\.[^.]+)?$"
@@ -46,10 +46,9 @@ def free_names(files: DataFrame, taken: DataFrame, order: list[str], work: Works
         F.regexp_extract("nome", variant, 2).cast("long").alias("_e"),
     )
     held = plain.union(other.where("_e > 1")).distinct().join(files.select(place, name).distinct(), [place, name], "left_semi")
-    ranked = ordinals(held, [place, name], ["_e"], "_i", work).withColumn("_livres", F.col("_e") - F.col("_i"))
-    gaps = ranked.groupBy(place, name, "_livres").agg(F.count("*").alias("_c"))
-    gaps = gaps.withColumn("_ate", F.sum("_c").over(W.partitionBy(place, name).orderBy("_livres")))
-    steps = gaps.groupBy(place, name).agg(F.sort_array(F.collect_list(F.struct("_livres", "_ate"))).alias("_degraus"))
-    out = ours.join(steps, [place, name], "left")
-    offset = F.coalesce(F.array_max(F.transform(F.filter("_degraus", lambda g: g["_livres"] < F.col("_k")), lambda g: g["_ate"])), F.lit(0))
-    return out.withColumn("nome", numbered(F.col(name), F.col("_k") + offset)).drop("_k", "_degraus")
+    ranked = ordinals(held, [place, name], ["_e"], "_i", work)
+    columns = ours.drop("_k").columns
+    rows = ours.select(F.struct(*columns).alias("_linha"), place, name, F.col("_k").alias("_v"), F.lit(0).alias("_tipo"), F.lit(0).cast("long").alias("_e"))
+    gaps = ranked.select(F.lit(None).alias("_linha"), place, name, (F.col("_e") - F.col("_i")).alias("_v"), F.lit(1).alias("_tipo"), "_e")
+    out = ordinals(rows.union(gaps), [place, name], ["_v", "_tipo", "_e"], "_numero", work).where("_tipo = 0")
+    return out.select("_linha.*", numbered(F.col(name), F.col("_numero")).alias("nome"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from acervo.operators.ranking import ordinals
@@ -23,12 +22,14 @@ def not_indexed(files: DataFrame, index: DataFrame) -> DataFrame:
 def first_copies(files: DataFrame, order: list[str], key: str = "hash") -> DataFrame:
     """The first file of each hash by ``order``; files without a hash all stay.
 
-    The least of each group is found by a partial aggregation, so a hash that many files share costs no sort of them.
+    The first of each hash that comes again is found by a partial aggregation of hash and order, so a hash that many files
+    share costs no sort, and no other column is read for it; the join with these few leaves the other files where they are.
     """
     columns = files.columns
-    first = F.min_by(F.struct(*columns), F.struct(*order))
-    known = files.where(F.col(key).isNotNull()).groupBy(key).agg(first.alias("_f")).select("_f.*")
-    return known.unionByName(files.where(F.col(key).isNull()))
+    again = files.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(*order)).alias("_f"), F.count("*").alias("_n"))
+    again = again.where("_n > 1").drop("_n")
+    out = files.join(again, F.col(key) == F.col("_k"), "left")
+    return out.where(F.col("_f").isNull() | (F.struct(*order) == F.col("_f"))).select(*columns)
 
 
 def insert_ignore(index: DataFrame, new: DataFrame, order: list[str], work: Workspace) -> DataFrame:
@@ -40,13 +41,3 @@ def insert_ignore(index: DataFrame, new: DataFrame, order: list[str], work: Work
     fresh = first_copies(first_copies(fresh, order), order, "caminho")
     last = index.agg(F.max("id")).first()[0] or 0
     return ordinals(fresh, [], order, "_n", work).withColumn("id", F.col("_n") + last).drop("_n")
-
-
-def hash_of(content: str = "content") -> F.Column:
-    """SHA-256 of a file's bytes in lower-case hexadecimal."""
-    return F.sha2(F.col(content), 256)
-
-
-def latest_per(df: DataFrame, group: list[str], order: list) -> DataFrame:
-    """The first row of each group; Spark limits the groups before the shuffle."""
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where("_r = 1").drop("_r")

@@ -9,7 +9,6 @@ from acervo.functions.dates import document_date, modified_date
 from acervo.functions.scoring import with_category
 from acervo.functions.text import normalized, suffix
 from acervo.operators.archive import folder, free_names
-from acervo.operators.index import first_copies
 from acervo.plans.rules import INDEXED, NOT_WATCHED, WATCHED
 from acervo.plans.workspace import Workspace
 
@@ -42,17 +41,14 @@ def archived(files: DataFrame, taken: DataFrame, root: str, order: list[str], wo
     return free_names(placed, taken, order, work).withColumn("destino", F.concat_ws("/", "pasta", "nome")).drop("pasta", "nome")
 
 
-def results(files: DataFrame, index: DataFrame, root: str, order: list[str], work: Workspace, moment: str = "modificationtime") -> DataFrame:
+def results(
+    files: DataFrame, index: DataFrame, root: str, order: list[str], work: Workspace, moment: str = "modificationtime", watched: tuple[str, ...] = WATCHED,
+) -> DataFrame:
     """A result for every file: ``order`` columns, ``arquivo``, ``categoria``, ``data``, ``destino``, ``ignorado``."""
-    told = work.save(gated(files, index, order), "gated")
-    going = classified(told.where("ignorado IS NULL"), moment)
+    told = work.save(gated(files, index, order, watched), "gated")
+    going = work.save(classified(told.where("ignorado IS NULL"), moment).select(*order, "arquivo", "categoria", "data", "ignorado"), "classified")
     taken = index.select(F.regexp_extract("caminho", r"(?s)^(.*)/[^/]*$", 1).alias("pasta"), F.element_at(F.split("caminho", "/"), -1).alias("nome"))
     done = archived(going, taken, root, order, work).select(*order, "arquivo", "categoria", "data", "destino", "ignorado")
     none = F.lit(None).cast("string")
     left = told.where("ignorado IS NOT NULL").select(*order, "arquivo", none.alias("categoria"), none.alias("data"), none.alias("destino"), "ignorado")
     return done.union(left)
-
-
-def first_in_inbox(files: DataFrame, order: list[str]) -> DataFrame:
-    """First-come copies of readable files."""
-    return first_copies(files.where("erro IS NULL"), order)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acervo.functions.text import sqlite_like
+from acervo.functions.scoring import matched_terms
+from acervo.functions.text import normalized, sqlite_like
 from acervo.plans.schemas import LISTED
 
 # The labels of the screen's facets and the categories they stand for.
@@ -61,6 +62,51 @@ def has_text(columns: list[Column], term: str) -> Column:
     return F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns])).contains(term)
 
 
+def shown(index: DataFrame, label: str, term: str) -> DataFrame:
+    """The rows that the screen shows under a label for a term, found in name, category, text and date joined."""
+    cols = [F.col(c) for c in ("arquivo", "categoria", "texto", "data_documento")]
+    return index.where(in_facet(F.col("categoria"), label) & has_text(cols, term))
+
+
+def selected(rows: DataFrame, chosen: int | None) -> DataFrame:
+    """``id``: the chosen row if it is shown, else the first of the rows, which come newest first."""
+    one = rows.agg(F.max("id").alias("primeira"), F.bool_or(F.col("id") == F.lit(chosen).cast("long")).alias("ainda"))
+    return one.select(F.when(F.col("ainda"), F.lit(chosen).cast("long")).otherwise(F.col("primeira")).alias("id"))
+
+
+def details(rows: DataFrame, width: int = 160) -> DataFrame:
+    """What the screen tells of each row: ``id``, ``arquivo``, ``tipo``, ``data`` (day first), ``destino``, ``chaves``, ``trecho``.
+
+    ``chaves`` are the terms of the row's own category that its text holds, in the order of the rules; ``trecho`` is the
+    beginning of the text in one line.
+    """
+    day = F.date_format(F.col("data_documento").try_cast("date"), "dd/MM/yyyy")
+    line = F.trim(F.substring(F.regexp_replace(F.coalesce("texto", F.lit("")), r"[ \t\r\n]+", " "), 1, width))
+    rows = rows.withColumn("_normal", normalized(F.coalesce("texto", F.lit(""))))
+    return rows.select(
+        "id", "arquivo", F.coalesce(facet(F.col("categoria")), F.col("categoria")).alias("tipo"), F.coalesce(day, F.lit("—")).alias("data"),
+        F.col("caminho").alias("destino"), matched_terms(F.col("_normal"), F.col("categoria")).alias("chaves"), line.alias("trecho"),
+    )
+
+
+def screen(index: DataFrame, label: str, term: str, today: str, images: tuple[str, ...], limit: int = 50) -> DataFrame:
+    """All that a screen needs for a label and a term, in long form: ``parte``, ``ordem``, ``nome``, ``valor``.
+
+    ``linhas``: the newest ``limit`` of the shown rows by place, id and name; ``categorias``: each facet and its count;
+    ``estatisticas``: each tile; ``todos``: how many rows are shown.  The page's rows alone are ordered.
+    """
+    visible = shown(index, label, term)
+    page = limited(visible.select("id", "arquivo").orderBy(F.desc("id")), limit)
+    lines = page.groupBy().agg(F.sort_array(F.collect_list(F.struct("id", "arquivo")), False).alias("l")).select(F.posexplode("l").alias("n", "x"))
+    none = F.lit(0).alias("ordem")
+    out = lines.select(F.lit("linhas").alias("parte"), (F.col("n") + 1).alias("ordem"), F.col("x.id").cast("string").alias("nome"), F.col("x.arquivo").alias("valor"))
+    out = out.union(facet_counts(index).select(F.lit("categorias"), none, "nome", F.col("contagem").cast("string")))
+    own = tiles(index, today, images)
+    each = F.array(*[F.struct(F.lit(c).alias("nome"), F.col(c).cast("string").alias("valor")) for c in own.columns])
+    out = out.union(own.select(F.explode(each).alias("x")).select(F.lit("estatisticas"), none, "x.nome", "x.valor"))
+    return out.union(visible.agg(F.count("*").cast("string").alias("valor")).select(F.lit("todos"), none, F.lit("visiveis"), "valor"))
+
+
 def tiles(index: DataFrame, today: str, images: tuple[str, ...]) -> DataFrame:
     """One row: archived documents, today's, those read from images, those to be reviewed."""
     image = F.lower(F.regexp_extract("arquivo", r"(?s)^.+(\.[^.]+)$", 1)).isin(*images)

@@ -51,6 +51,11 @@ class Workspace:
         (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def discard(self, name: str) -> None:
+        """Delete a table that is not read again."""
+        fs, at = file_system(self.spark, f"{self.path}/{name}")
+        fs.delete(at, True)
+
     def finish(self, df: DataFrame, name: str = "result") -> DataFrame:
         """Save the result ``df`` and delete all other tables of this workspace."""
         out = self.save(df, name)

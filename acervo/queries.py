@@ -6,15 +6,20 @@ import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.functions import dates, scoring
-from acervo.functions.text import normalized, stem, suffix
+from acervo.functions.text import human_size, normalized, stem, suffix
 from acervo.operators import archive, index, ingest, search
 from acervo.plans.rules import DEFAULT, IMAGE_EXTENSIONS, INDEXED, MONTHS, NOT_WATCHED, RULES, WATCHED
+from acervo.plans.schemas import LISTED
 from acervo.plans.tables import table
 from acervo.plans.workspace import Workspace
+from acervo.sources.config import Settings
+from acervo.sources.inbox import listed
+from acervo.streaming.watch import ingest_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROOT, BACKUP = "/dados/organizados", "/dados/copias"
@@ -121,8 +126,35 @@ def shown_of_total(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ui_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.shown(_docs(spark, d), "A revisar", " Prazo ").select("id")
+
+
+def text_query(spark: SparkSession, d: str) -> DataFrame:
+    """The text test alone, with a hit that spans two fields."""
     cols = [F.col(c) for c in ("arquivo", "categoria", "texto", "data_documento")]
-    return _docs(spark, d).where(search.has_text(cols, " Energia ") & search.in_facet(F.col("categoria"), "A revisar")).select("id")
+    return _docs(spark, d).where(search.has_text(cols, "PDF boleto")).select("id")
+
+
+def moved(spark: SparkSession, d: str) -> DataFrame:
+    """A real inbox of text files taken in: files written, listed, read, hashed, gated, classified, archived, logged, moved."""
+    work = Workspace(spark, "inbox")
+    at = work.path
+    rows = _inbox(spark, d).where("erro IS NULL AND texto IS NOT NULL")
+    names = F.concat(F.format_string("%012d", "entrada_id"), F.when(F.col("entrada_id") % 7 == 0, F.lit(".exe")).otherwise(F.lit(".txt")))
+
+    def write(part) -> None:
+        store, to = FileSystem.from_uri(f"{at}/in")
+        for r in part:
+            with store.open_output_stream(f"{to}/{r.nome}") as f:
+                f.write(r.texto.encode())
+
+    settings = Settings(f"{at}/in", f"{at}/out", f"{at}/copy", f"{at}/index")
+    settings.make_folders(spark)
+    rows.select(names.alias("nome"), "texto").foreachPartition(write)
+    told = ingest_folder(spark, settings)
+    left = listed(spark, settings.inbox, content=False).select("path", F.lit(True).alias("ficou"))
+    own = F.element_at(F.split("path", "/"), -1)
+    return work.finish(told.join(left, "path", "left").select(own.substr(1, 12).cast("long").alias("entrada_id"), "categoria", "ignorado", F.coalesce("ficou", F.lit(False)).alias("ficou")))
 
 
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
@@ -137,11 +169,12 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     source = spark.readStream.schema(schema).option("maxFileAge", "36500d").option("pathGlobFilter", "entrada.parquet").parquet(d)
     source = source if not _is_folder(d) else spark.readStream.schema(schema).parquet(f"{d}/entrada.parquet")
 
-    def sink(batch: DataFrame, _: int) -> None:
+    def sink(batch: DataFrame, n: int) -> None:
         fresh = batch.where("erro IS NULL AND hash IS NOT NULL").join(known, "hash", "left_anti")
         first = fresh.groupBy("hash").agg(F.min("entrada_id").alias("entrada_id"))
-        first.write.mode("append").parquet(f"{work.path}/seen")
+        first.write.mode("overwrite").parquet(f"{work.path}/seen/lote={n}")
 
+    known.limit(0).select("hash", F.lit(0).cast("long").alias("entrada_id")).write.parquet(f"{work.path}/seen/lote=-1")
     query = source.writeStream.option("checkpointLocation", f"{work.path}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
     query.awaitTermination()
     seen = spark.read.schema("hash string, entrada_id long").parquet(f"{work.path}/seen")
@@ -154,6 +187,33 @@ def _is_folder(d: str) -> bool:
     return os.path.isdir(f"{d}/entrada.parquet")
 
 
+def details(spark: SparkSession, d: str) -> DataFrame:
+    return search.details(_docs(spark, d))
+
+
+def screen(spark: SparkSession, d: str) -> DataFrame:
+    return search.screen(_docs(spark, d), "Contas", "energia", TODAY, IMAGE_EXTENSIONS)
+
+
+def selection(spark: SparkSession, d: str) -> DataFrame:
+    """What stays chosen: a row that is not shown gives way to the first, one that is shown stays, and none is the first."""
+    rows = search.shown(_docs(spark, d), "Contratos", "")
+    cases = [search.selected(rows, n).select(F.lit(name).alias("caso"), "id") for name, n in (("some", -1), ("nada", None))]
+    return cases[0].union(cases[1])
+
+
+def news(spark: SparkSession, d: str) -> DataFrame:
+    """The index as a stream of new rows, pushed to a table that each batch writes its own part of."""
+    work = Workspace(spark, "news")
+    source = spark.readStream.schema(_docs(spark, d).schema).option("maxFileAge", "36500d")
+    source = source.parquet(f"{d}/documentos.parquet") if _is_folder(d) else source.option("pathGlobFilter", "documentos.parquet").parquet(d)
+    query = source.select(*LISTED).writeStream.option("checkpointLocation", f"{work.path}/checkpoint").trigger(availableNow=True)
+    query = query.foreachBatch(lambda rows, n: rows.drop("processado_em").write.mode("overwrite").parquet(f"{work.path}/rows/lote={n}")).start()
+    query.awaitTermination()
+    _docs(spark, d).limit(0).drop("processado_em").select(*[c for c in LISTED if c != "processado_em"]).write.mode("append").parquet(f"{work.path}/rows/lote=-1")
+    return spark.read.parquet(f"{work.path}/rows").drop("lote")
+
+
 def queries() -> dict[str, Query]:
     """Name to query."""
     return {
@@ -192,6 +252,13 @@ def queries() -> dict[str, Query]:
         "stats_tiles": lambda s, d: search.tiles(_docs(s, d), TODAY, IMAGE_EXTENSIONS),
         "shown_of_total": shown_of_total,
         "ui_search_concat": ui_search,
+        "ui_search_across_fields": text_query,
+        "ui_screen": screen,
+        "ui_details": details,
+        "ui_selection": selection,
+        "feed_of_new_rows": news,
+        "human_size": lambda s, d: _inbox(s, d).select("entrada_id", human_size(F.col("length")).alias("tamanho")),
+        "ingest_of_files": moved,
         "print_lines": lambda s, d: search.printed(_docs(s, d)),
         "pipeline_end_to_end": pipeline,
         "stream_ingest_available_now": stream_ingest,
@@ -327,6 +394,11 @@ def oracle_sql() -> dict[str, str]:
     in_path = "ocupados AS (SELECT regexp_extract(caminho, '(?s)^(.*)/[^/]*$', 1) AS pasta, regexp_extract(caminho, '[^/]*$') AS nome FROM documentos)"
     months = ", ".join(f"('{m}', {i + 1})" for i, m in enumerate(MONTHS))
     joined = "lower(concat_ws(' ', coalesce(arquivo, ''), coalesce(categoria, ''), coalesce(texto, '')))"
+    shown = "lower(concat_ws(' ', coalesce(arquivo, ''), coalesce(categoria, ''), coalesce(texto, ''), coalesce(data_documento, '')))"
+    tiles = f"SELECT count(*) AS arquivados, count(*) FILTER (strftime(processado_em, '%Y-%m-%d') = '{TODAY}') AS hoje, count(*) FILTER (lower({_SUFFIX.format('arquivo')}) IN ({images})) AS ocr, count(*) FILTER (categoria = 'outros') AS revisar FROM documentos"
+    kinds = " ".join(f"WHEN categoria IN ({', '.join(map(_quoted, own))}) THEN '{label}'" for label, own in search.FACETS)
+    held = {c: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_sql_word('normal', t)} THEN '{t}' END" for t, _ in own) + "], lambda t: t IS NOT NULL), ', ')" for c, own in RULES}
+    terms = " ".join(f"WHEN categoria = '{c}' THEN coalesce({t}, '')" for c, t in held.items())
     return {
         "normalize_text": f"WITH {_NORMAL} SELECT * FROM normal",
         "content_hash": "SELECT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL",
@@ -365,9 +437,29 @@ def oracle_sql() -> dict[str, str]:
         ),
         "facet_counts": f"SELECT nome, count(*) AS contagem FROM ({labels}) GROUP BY nome",
         "facet_rollup": f"SELECT categoria, ano, count(*) AS n, CAST(grouping(categoria, ano) AS INT) AS nivel FROM (SELECT categoria, {year} AS ano FROM documentos) GROUP BY ROLLUP (categoria, ano)",
-        "stats_tiles": f"SELECT count(*) AS arquivados, count(*) FILTER (strftime(processado_em, '%Y-%m-%d') = '{TODAY}') AS hoje, count(*) FILTER (lower({_SUFFIX.format('arquivo')}) IN ({images})) AS ocr, count(*) FILTER (categoria = 'outros') AS revisar FROM documentos",
+        "stats_tiles": tiles,
         "shown_of_total": f"SELECT count(*) FILTER (categoria IN ('conta_luz', 'conta_agua') AND contains({joined}, 'água')) AS visiveis, count(*) AS total FROM documentos",
-        "ui_search_concat": "SELECT id FROM documentos WHERE categoria = 'outros' AND contains(lower(concat_ws(' ', coalesce(arquivo, ''), coalesce(categoria, ''), coalesce(texto, ''), coalesce(data_documento, ''))), 'energia')",
+        "ui_search_concat": f"SELECT id FROM documentos WHERE categoria = 'outros' AND contains({shown}, 'prazo')",
+        "ui_search_across_fields": f"SELECT id FROM documentos WHERE contains({shown}, 'pdf boleto')",
+        "ui_screen": (
+            f"WITH visiveis AS (SELECT * FROM documentos WHERE categoria IN ('conta_luz', 'conta_agua') AND contains({shown}, 'energia')), blocos AS ({tiles}) "
+            "SELECT 'linhas' AS parte, CAST(row_number() OVER (ORDER BY id DESC) AS INT) AS ordem, CAST(id AS VARCHAR) AS nome, arquivo AS valor FROM (SELECT * FROM visiveis ORDER BY id DESC LIMIT 50) "
+            f"UNION ALL SELECT 'categorias', 0, nome, CAST(count(*) AS VARCHAR) FROM ({labels}) GROUP BY nome "
+            "UNION ALL SELECT 'estatisticas', 0, nome, CAST(n AS VARCHAR) FROM (UNPIVOT blocos ON arquivados, hoje, ocr, revisar INTO NAME nome VALUE n) "
+            "UNION ALL SELECT 'todos', 0, 'visiveis', CAST(count(*) AS VARCHAR) FROM visiveis"
+        ),
+        "ui_details": (
+            f"WITH {_NORMAL} SELECT d.id, arquivo, CASE {kinds} ELSE categoria END AS tipo, coalesce(strftime(TRY_CAST(data_documento AS DATE), '%d/%m/%Y'), '—') AS data, caminho AS destino, "
+            f"CASE {terms} ELSE '' END AS chaves, trim(substring(regexp_replace(coalesce(texto, ''), '[ \t\r\n]+', ' ', 'g'), 1, 160), ' ') AS trecho FROM documentos d LEFT JOIN normal n USING (id)"
+        ),
+        "ui_selection": "SELECT unnest(['some', 'nada']) AS caso, max(id) AS id FROM documentos WHERE categoria = 'contrato'",
+        "feed_of_new_rows": "SELECT id, arquivo, caminho, categoria, data_documento FROM documentos",
+        "human_size": "SELECT entrada_id, CASE WHEN length < 1024 THEN length || ' B' WHEN length < 1048576 THEN CAST(floor(length / 1024.0 + 0.5) AS BIGINT) || ' KB' ELSE replace(printf('%.1f', round(length / 1048576.0, 1)), '.', ',') || ' MB' END AS tamanho FROM entrada",
+        "ingest_of_files": (
+            f"WITH arquivos AS (SELECT entrada_id, texto, entrada_id % 7 = 0 AS exe, row_number() OVER (PARTITION BY entrada_id % 7 = 0, sha256(texto) ORDER BY entrada_id) AS r FROM entrada WHERE erro IS NULL AND texto IS NOT NULL), "
+            f"textos AS MATERIALIZED (SELECT entrada_id, {_sql_normal('texto')} AS normal FROM arquivos WHERE NOT exe AND r = 1), classes AS ({_sql_classes('textos', 'entrada_id', 'normal')}) "
+            f"SELECT entrada_id, categoria, CASE WHEN exe THEN '{NOT_WATCHED}' WHEN r > 1 THEN '{INDEXED}' END AS ignorado, exe OR r > 1 AS ficou FROM arquivos LEFT JOIN classes USING (entrada_id)"
+        ),
         "print_lines": "SELECT id, '[' || CASE WHEN length(CAST(id AS VARCHAR)) < 4 THEN lpad(CAST(id AS VARCHAR), 4, ' ') ELSE CAST(id AS VARCHAR) END || '] ' || coalesce(nullif(data_documento, ''), 'sem data') || '  ' || CASE WHEN length(categoria) < 18 THEN rpad(categoria, 18, ' ') ELSE categoria END || ' ' || arquivo || chr(10) || '       ' || caminho AS linhas FROM documentos",
         "pipeline_end_to_end": (
             f"WITH {_sql_gates()}, textos AS MATERIALIZED (SELECT entrada_id, {_sql_normal("coalesce(texto, '')")} AS normal FROM estados WHERE ignorado IS NULL), "

@@ -1,15 +1,18 @@
 """Reading of an inbox folder: listing, hashes, text by format.
 
 Spark's file source hides names with a leading underscore and empty files; ``listed`` finds them by listing the folder on
-the driver (names only) and reading the bytes on the executors.  ``read`` is the native source for all else.
+the driver (names only) and reading the bytes on the executors.  ``settled`` waits for files that are still being copied.
+``read`` is the native source for all else.
 """
 
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,23 +30,73 @@ def read(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(folder)
 
 
-def listed(spark: SparkSession, folder: str) -> DataFrame:
-    """All regular files of a folder but dot files, empty and underscored ones too; not recursive."""
-    with os.scandir(folder) as entries:
-        names = sorted(e.path for e in entries if e.is_file() and not e.name.startswith("."))
-    rows = spark.createDataFrame([(n,) for n in names], "path string")
+def names(folder: str) -> list[str]:
+    """Paths of the regular files of a folder but dot files, sorted; not recursive."""
+    store, at = FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
+    found = store.get_file_info(FileSelector(at))
+    return sorted(f"{folder.rstrip('/')}/{f.base_name}" for f in found if f.type == FileType.File and not f.base_name.startswith("."))
+
+
+def _local(path: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
+def content_of(paths: DataFrame) -> DataFrame:
+    """Raw files of ``path``, read on the executors."""
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            stats = [os.stat(p) for p in b["path"]]
-            content = []
-            for p in b["path"]:
-                with open(p, "rb") as f:
-                    content.append(f.read())
-            moments = pd.to_datetime([s.st_mtime for s in stats], unit="s").astype("datetime64[us]")
-            yield pd.DataFrame({"path": b["path"], "modificationTime": moments, "length": [s.st_size for s in stats], "content": content})
-
-    return rows.mapInPandas(load, FILES)
+            for path in b["path"]:  # a row at a time: a task holds one file
+                store, at = _local(path)
+                info = store.get_file_info(at)
+                if info.type == FileType.File:
+                    with store.open_input_stream(at) as f:
+                        content = f.read()
+                    yield pd.DataFrame({"path": pd.Series([path], dtype=object), "modificationTime": pd.to_datetime([info.mtime_ns], unit="ns").astype("datetime64[us]"), "length": [len(content)], "content": [content]})
+
+    return paths.select("path").mapInPandas(load, FILES)
+
+
+def listed(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
+    """All regular files of a folder but dot files, empty and underscored ones too; without ``content`` their paths only."""
+    own = names(folder)
+    rows = spark.createDataFrame([(n,) for n in own], "path string").repartition(max(1, min(len(own), spark.sparkContext.defaultParallelism)))
+    return content_of(rows) if content else rows
+
+
+#: Looks at a file's size, and seconds between them.
+LOOKS, PAUSE = 20, 0.5
+
+
+def settled(paths: DataFrame, looks: int = LOOKS, pause: float = PAUSE) -> DataFrame | None:
+    """Raw files of ``path`` once their copying has ended: the size came twice and is not zero, or ``looks`` are over.
+
+    The files of an Arrow batch are watched together, so many of them wait no longer than one; a file that vanishes is left out.
+    None if there is no path.
+    """
+    if paths.isEmpty():
+        return None
+
+    def gate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            waiting, ready = dict.fromkeys(b["path"], -1), []
+            for look in range(looks):
+                for path, before in list(waiting.items()):
+                    store, at = _local(path)
+                    info = store.get_file_info(at)
+                    if info.type != FileType.File:
+                        del waiting[path]
+                    elif info.size == before and info.size > 0:
+                        ready.append(path)
+                        del waiting[path]
+                    else:
+                        waiting[path] = info.size
+                if not waiting:
+                    break
+                time.sleep(pause)
+            yield pd.DataFrame({"path": pd.Series([*ready, *waiting], dtype=object)})
+
+    return content_of(paths.select("path").mapInPandas(gate, "path string"))
 
 
 def text_of(content: bytes) -> str:
