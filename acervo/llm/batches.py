@@ -24,7 +24,6 @@ be accepted; an empty batch changes nothing; ids are unique; other columns are i
 from __future__ import annotations
 
 import re
-import unicodedata
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 
 from acervo.plans.workspace import Workspace
 
-from .neardup import _MARKS, _WORD, Numbers, buckets, common_kmers, consistent, verify
+from .neardup import Numbers, buckets, common_kmers, consistent, folded, verify, words_in
 
 COVERAGE, REST, LEAST_WORDS = 0.4, 0.25, 5
 #: Sketches of a text, of problem 6's first and second kind.
@@ -56,26 +55,20 @@ _NEXT, _PART = chr(0x1D), chr(0x1E)
 _NONE = np.zeros(0, np.int32)
 
 
-_TOKEN = re.compile(rf"[^\W_]+|[{_NEXT}{_PART}]")
-
-
 def paragraphs(text: str, number: Numbers) -> tuple[np.ndarray, list[int], list[int]]:
     """Numbers of all words; hashes and sizes of the sentences and of their parts, of ``LEAST_WORDS`` words or more.
 
     Where these hold less than half of the words, as in forms, the shorter ones count too, and the whole text.
     """
     text = _FIELD.sub(rf"\1{_PART}", _PARAGRAPH.sub(_NEXT, consistent(text)))
-    text = text.lower() if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", text.casefold()))
-    ends, words, parted = [], [], []
-    for t in _TOKEN.findall(text):
-        if t > _PART:
-            words.append(number[t])
-        elif t == _PART:
-            parted.append(len(words))
-        else:
-            ends.append((len(words), parted))
-            parted = []
-    ends.append((len(words), parted))
+    text = folded(text)
+    ends, words = [], []
+    for sentence in text.split(_NEXT):
+        inner = []
+        for part in sentence.split(_PART):
+            inner.append(len(words))
+            words += [number[w] for w in words_in(part)]
+        ends.append((len(words), inner[1:]))
     own = np.array(words, np.int32)
     raw = own.tobytes()
     units: dict[int, int] = {}

@@ -59,7 +59,7 @@ LEAST_BITS, MOST_BITS = 128, 1 << 15
 
 _ODD, _CHUNK = re.compile(ODD), re.compile(r"\S+")
 _MARKS = re.compile("[" + chr(0x300) + "-" + chr(0x36F) + "]")
-_WORD = re.compile(r"[^\W_]+")
+_WORD, _LATIN_WORD = re.compile(r"[^\W_]+"), re.compile("[a-z0-9]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _TOP = np.uint64(1 << 63)
 
@@ -73,10 +73,17 @@ def consistent(text: str) -> str:
 
 def words_of(text: str) -> list[str]:
     """The words of a text in its consistent form, without case and accents."""
-    if text.isascii():
-        return _WORD.findall(text.lower())
-    text = consistent(text)
-    return _WORD.findall(_MARKS.sub("", unicodedata.normalize("NFD", text.casefold())))
+    return words_in(folded(consistent(text)))
+
+
+def folded(text: str) -> str:
+    """A text without case and accents."""
+    return text.lower() if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", text.casefold()))
+
+
+def words_in(text: str) -> list[str]:
+    """The words of a folded text."""
+    return (_LATIN_WORD if text.isascii() else _WORD).findall(text)
 
 
 class Numbers(dict):
@@ -447,7 +454,7 @@ def possible(pairs: DataFrame, maps: DataFrame, limit: float = LIMIT) -> DataFra
             keep = []
             for i, (n, m, x, y) in enumerate(zip(*(part.column(c).to_pylist() for c in range(2, 6)), strict=True)):
                 wide = min(len(x), len(y))
-                u, v = folded(x, wide), folded(y, wide)
+                u, v = narrowed(x, wide), narrowed(y, wide)
                 keep.append((u ^ v).bit_count() <= (n + m) * (1 - limit) / (1 + limit) + 1e-6)
             yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
@@ -456,7 +463,7 @@ def possible(pairs: DataFrame, maps: DataFrame, limit: float = LIMIT) -> DataFra
     return pairs.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def folded(bits: bytes, wide: int) -> int:
+def narrowed(bits: bytes, wide: int) -> int:
     """A bitmap as a number, folded to ``wide`` bytes."""
     out = int.from_bytes(bits, "little")
     size = len(bits)
