@@ -47,7 +47,7 @@ from .lookalike import ODD, mapped_form
 K, LIMIT = 3, 0.5
 SKETCHES, TAKE, COMMON, AT_LEAST = 20, 2, 5_000, 30
 WHOLE, WHOLE_TAKE, THIN = 16, 3, 8
-SEGMENT = 20_000
+SEGMENT, NAMED = 20_000, 1_000_000
 BAND = 24
 #: Texts of a bucket that gives all its pairs; that a text is first compared with; whose bitmaps a task holds; ids that are
 #: broadcast at most.
@@ -310,7 +310,9 @@ def common_kmers(words: DataFrame, count: int | None = None) -> np.ndarray:
     """K-mers that come once in ``COMMON`` texts or more, sorted: at most ``COMMON`` times the mean k-mers of a text.
 
     One that is common over all texts is as common in some part of them: a first pass collects what any part of up to
-    ``SEGMENT`` texts finds common, a second counts these over all texts.  How texts are split changes nothing.
+    ``SEGMENT`` texts finds common, with what these parts have of them; a second counts over all texts those for which that is
+    not enough.  How texts are split changes nothing.  If the parts are so unlike that they name more than ``NAMED`` together,
+    all k-mers are counted by a shuffle instead.
     """
     texts = words.count() if count is None else count
     least = max(AT_LEAST, -(-texts // COMMON))
@@ -328,10 +330,11 @@ def common_kmers(words: DataFrame, count: int | None = None) -> np.ndarray:
         if n:
             yield np.concatenate(held), n
 
-    def nominate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def nominate(batches: Iterable[pa.RecordBatch], all_of_them: bool = False) -> Iterator[pa.RecordBatch]:
         for own, n in parts(batches):
             all_, times = np.unique(own, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(all_[times * texts >= least * n].astype(np.int64))], names=["comum"])
+            often = times * texts >= (0 if all_of_them else least * n)
+            yield pa.RecordBatch.from_arrays([pa.array(all_[often].astype(np.int64)), pa.array(times[often])], names=["comum", "n"])
 
     def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -341,13 +344,21 @@ def common_kmers(words: DataFrame, count: int | None = None) -> np.ndarray:
             total += np.bincount(at[known[at] == own], minlength=len(known))
         yield pa.RecordBatch.from_arrays([pa.array(known.astype(np.int64)), pa.array(total)], names=["comum", "n"])
 
-    named = words.select("palavras").mapInArrow(nominate, "comum long").distinct()
-    known = np.sort(np.array([r.comum for r in named.toLocalIterator()], np.int64).astype(np.uint64))
+    def added_up(run: object) -> DataFrame:
+        return words.select("palavras").mapInArrow(run, "comum long, n long").groupBy("comum").agg(F.sum("n").alias("n"))
+
+    def numbers(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        table = rows.toArrow()
+        return table.column("comum").to_numpy().astype(np.int64).view(np.uint64), table.column("n").to_numpy()
+
+    named, n = numbers(added_up(nominate).limit(NAMED + 1))
+    if len(named) > NAMED:
+        return np.sort(numbers(added_up(lambda rows: nominate(rows, True)).where(F.col("n") >= least))[0])
+    known = np.sort(named[n < least])
     if not len(known):
-        return known
+        return np.sort(named)
     shared = words.sparkSession.sparkContext.broadcast(known)
-    seen = words.select("palavras").mapInArrow(counts, "comum long, n long").groupBy("comum").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r.comum for r in seen.where(F.col("n") >= least).select("comum").toLocalIterator()], np.int64).astype(np.uint64))
+    return np.sort(np.concatenate([named[n >= least], numbers(added_up(counts).where(F.col("n") >= least))[0]]))
 
 
 def buckets(spark: SparkSession, words: DataFrame, common: np.ndarray, rare: int = SKETCHES, whole: int = WHOLE) -> DataFrame:

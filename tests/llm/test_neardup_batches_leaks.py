@@ -278,6 +278,8 @@ def test_common_kmers_do_not_depend_on_partitions(spark, monkeypatch):
     want = neardup.common_kmers(rows.repartition(1))
     monkeypatch.setattr(neardup, "SEGMENT", 9)
     assert len(want) == 4 and all((neardup.common_kmers(rows.repartition(n)) == want).all() for n in (3, 16))
+    monkeypatch.setattr(neardup, "NAMED", 5)
+    assert (neardup.common_kmers(rows.repartition(3)) == want).all()
 
 
 def test_recall_of_the_sketches_alone(spark):
