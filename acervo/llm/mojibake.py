@@ -12,13 +12,13 @@ A mark of a word broken at a line's end, and words between no-break spaces, are
 be written with imitated characters (problem 1) speaks for a page only if that is shorter than its usual form, too, and a word of
 less than two letters never does; both are read by the page that the other words of their field speak for.
 
-The dictionaries are the only fitted model: they are trained from the ``SAMPLE`` distinct clean values of least hash, so the
-bound doesn't grow with the data and equal values count once; they are broadcast (``DICTIONARY`` bytes each).  What a
-character needs to be known is counted over all values.
+The dictionaries are the only fitted model: pairs of neighbouring words, digits alike, are counted over all clean values, and
+each language's dictionary is trained from its ``PAIRS`` most frequent ones, several times what it has room for; the dictionaries
+are broadcast (``DICTIONARY`` bytes each).  The characters that clean texts have are counted over all values by the same reading.
 
 Defined cases: null, empty and blank fields are not reported; a field that no chain makes shorter is left unchanged; correct
 capitals with accents, foreign words and signs have no shorter candidate; repeated rows give one row; other columns are
-ignored; ties go to the shorter chain.  There is no shuffle but the final distinct, and texts are read whole.
+ignored; ties go to the shorter chain.  Only counts and the final distinct are shuffled, and texts are read whole.
 """
 
 from __future__ import annotations
@@ -32,9 +32,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acervo.plans.workspace import Workspace
+
 from .lookalike import ODD, mapped_form
 
-SAMPLE, DICTIONARY, LEVEL = 4_000, 64 * 1024, 19
+PAIRS, DICTIONARY, LEVEL = 30_000, 64 * 1024, 19
 LINKS = 3
 #: Bytes that a link costs: one that yields UTF-8 is checked by its own form, one between two code pages is not.
 COST_UTF8, COST_PAGE = 1, 1.5
@@ -44,6 +46,8 @@ ESCAPE, KNOWN, LEAST = 2, 1_300, 3
 SLACK = 1
 #: Characters of context on either side of a word.
 CONTEXT = 20
+#: Pairs that a task holds before it hands on their counts.
+HELD = 200_000
 
 # Wrong decoder, right decoder.
 CHAINS = (
@@ -63,13 +67,13 @@ SIGNS = (
 )
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: What no clean text has: only such values are kept from the sample that the dictionaries learn.
-SPOILT = "|".join((
-    f"[{chr(0xFFFD)}{chr(0x80)}-{chr(0x9F)}]",
-    f"[ÂÃÎÏÐÑÅ][{chr(0x80)}-{chr(0xBF)}€‚ƒ„…†‡ˆ‰Š‹ŒŽ’•˜™š›œžŸ]|â[€„‚]",
-    r"[─-▟√∫≠≥≤∂∑∏∆◊ıˆ˜¯˘˙˚¸˝˛ˇ⌐⌠⌡∙ⁿƒ†‡]|[¬Ô][Ç¢£§•¶ß®©™´¨]",
-    f"[þ¾¶¢£¤¥‚„±¦¨¬§][{_LETTER}]|[{_LETTER}][þ¾¶¢£¤¥¡‚„±¦¨¬§·]|[a-zß-öø-ÿ][À-Þ]",
-))
+#: What no clean text has: only such values are kept from what the dictionaries learn.  The first class passes over ASCII quickly.
+SPOILT = "[^\\x00-\\x7f](?:" + "|".join((
+    f"(?<=[{chr(0xFFFD)}{chr(0x80)}-{chr(0x9F)}])",
+    f"(?<=[ÂÃÎÏÐÑÅ])(?=[{chr(0x80)}-{chr(0xBF)}€‚ƒ„…†‡ˆ‰Š‹ŒŽ’•˜™š›œžŸ])|(?<=â)(?=[€„‚])",
+    r"(?<=[─-▟√∫≠≥≤∂∑∏∆◊ıˆ˜¯˘˙˚¸˝˛ˇ⌐⌠⌡∙ⁿƒ†‡])|(?<=[¬Ô])(?=[Ç¢£§•¶ß®©™´¨])",
+    f"(?<=[þ¾¶¢£¤¥‚„±¦¨¬§])(?=[{_LETTER}])|(?<=[{_LETTER}][þ¾¶¢£¤¥¡‚„±¦¨¬§·])|(?<=[a-zß-öø-ÿ][À-Þ])",
+)) + ")"
 
 #: Marks of a word broken at a line's end: no page turns them into a letter.
 BREAKS = ("¬", chr(0xAD))
@@ -82,6 +86,12 @@ _WORD = re.compile(f"[^{_GAP}]+")
 _MARK = re.compile(f"[^\\x00-\\x7f{PLAIN}]|(?<=[A-Z])[{PLAIN}]")
 _NEXT = re.compile(r"[ \t\n\r\f\v]+[^ \t\n\r\f\v]*")
 _LAST = re.compile(r"[^ \t\n\r\f\v]*[ \t\n\r\f\v]+$")
+_SPOILT = re.compile(SPOILT)
+_BEYOND = re.compile(f"[^\\x00-~{PLAIN}{CAPITALS}]")
+#: Words as the pairs have them: a longer one counts as several.
+_PIECE = re.compile(b"[^ \t\n\r\f\v]{1,40}")
+_DIGITS = bytes.maketrans(b"123456789", b"000000000")
+_SMALL = {k: frozenset(f.encode() for w in v.split() for f in (w, w.capitalize(), w.upper())) for k, v in COMMON.items()}
 
 
 def _bytes_of(codec: str) -> dict[str, str]:
@@ -121,18 +131,14 @@ def redecode(word: str, wrong: str, right: str) -> str:
 class Restorer:
     """Chooses the chain of shortest description by zstandard dictionaries, one a language."""
 
-    def __init__(self, samples: list[str], known: set[str], size: int = DICTIONARY):
-        small = {k: set(v.split()) for k, v in COMMON.items()}
-        by: dict[str, list[bytes]] = {k: [] for k in small}
-        for t in samples:
-            words = t.lower().split()
-            by[max(small, key=lambda k: (sum(w in small[k] for w in words), k == "pt"))].append(t.encode())
+    def __init__(self, pairs: dict[str, list[bytes]], known: set[str], size: int = DICTIONARY):
+        """``pairs`` are each language's, by falling count."""
         self.known, self.raw = known, []
-        for own in by.values():
+        for own in pairs.values():
             if sum(map(len, own)) > 4 * size and len(own) >= 32:
                 self.raw.append(zstandard.train_dictionary(size, own, k=256, d=8).as_bytes())
-        if not self.raw:  # too little text to train from: the text itself is the dictionary
-            self.raw = [b"\n".join(x for own in by.values() for x in own)[-size:] or b"\n" * 16]
+        if not self.raw:  # too little text to train from: the pairs themselves are the dictionary, the frequent ones last
+            self.raw = [b"\n".join(x for own in pairs.values() for x in reversed(own))[-size:] or b"\n" * 16]
         self.packers: list = []
         self.sizes: dict[str, int] = {}
         self.others: dict[str, dict[str, tuple]] = {}
@@ -229,28 +235,53 @@ class Restorer:
         return "".join(out) + text[last:], used
 
 
+def language(words: list[bytes]) -> str:
+    """The language that most of the small words tell."""
+    return max(_SMALL, key=lambda k: (sum(map(_SMALL[k].__contains__, words)), k == "pt"))
+
+
+def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``tipo``, ``item`` and ``n``: how many values there are, how many clean ones have a character, the pairs of words by language."""
+    counts: dict[str, Counter] = {k: Counter() for k in ("valor", "sinal", *COMMON)}
+
+    def part(tipo: str) -> pa.RecordBatch:
+        own = counts[tipo]
+        items = [b" ".join(x) if tipo in COMMON else x.encode() for x in own]
+        out = pa.RecordBatch.from_arrays([pa.array([tipo] * len(own), pa.string()), pa.array(items, pa.binary()), pa.array(list(own.values()), pa.int64())], names=["tipo", "item", "n"])
+        own.clear()
+        return out
+
+    for rows in batches:
+        for column in rows.columns:
+            for v in column.to_pylist():
+                if v is None:
+                    continue
+                counts["valor"][""] += 1
+                if not v.isascii():
+                    if _SPOILT.search(v):
+                        continue
+                    counts["sinal"].update(set(_BEYOND.findall(v)))
+                words = _PIECE.findall(v.encode().translate(_DIGITS))
+                tipo = language(words)
+                counts[tipo].update(zip(words, words[1:]) if len(words) > 1 else zip(words))
+                if len(counts[tipo]) > HELD:
+                    yield part(tipo)
+    yield from map(part, counts)
+
+
 def fit(df: DataFrame, columns: list[str]) -> Restorer:
-    """Dictionaries from the clean ones of the ``2 * SAMPLE`` distinct values of least hash, ``SAMPLE`` at most.
+    """Dictionaries from the ``PAIRS`` most frequent pairs of words a language, counted over all clean values.
 
     The known characters are those of plain text and what one in ``KNOWN`` values has, counted over all clean values.
     """
-    values = df.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("v")).where("v IS NOT NULL").withColumn("h", F.xxhash64("v"))
-    least = values.select("h").distinct().orderBy("h").limit(2 * SAMPLE).agg(F.max("h"), F.count("*")).first()
-    near = values.where(F.col("h") <= F.lit(least[0])).groupBy("h").agg(F.min("v").alias("v")) if least[1] else values
-    first = near.where(~F.col("v").rlike(SPOILT)).orderBy("h").limit(SAMPLE).collect()
-    spoilt, plain = re.compile(SPOILT), {chr(c) for c in range(127)} | {*PLAIN, *CAPITALS}
-
-    def beyond(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[str] = Counter()
-        for part in batches:
-            for v in part.column(0).to_pylist():
-                if not spoilt.search(v):
-                    n.update(set(v) - plain)
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["c", "n"])
-
-    each = values.where(F.col("v").rlike(f"[^\\x00-\\x7f{PLAIN}{CAPITALS}]")).select("v").mapInArrow(beyond, "c string, n long")
-    seen = each.groupBy("c").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST) & (F.col("n") * KNOWN >= values.count()))
-    return Restorer([r.v for r in first], {*PLAIN, *CAPITALS, *(r.c for r in seen.collect())})
+    each = df.select(*columns).mapInArrow(counted, "tipo string, item binary, n long")
+    with Workspace(df.sparkSession, "mojibake") as work:
+        sums = work.save(each.groupBy("tipo", "item").agg(F.sum("n").alias("n")), "sums")
+        total = sums.where("tipo = 'valor'").first()
+        least = max(LEAST, total.n / KNOWN) if total else LEAST
+        known = {bytes(r.item).decode() for r in sums.where("tipo = 'sinal'").where(F.col("n") >= least).collect()}
+        pairs = {k: [bytes(r.item) for r in sums.where(F.col("tipo") == k).orderBy(F.desc("n"), "item").limit(PAIRS).collect()] for k in COMMON}
+    return Restorer(pairs, {*PLAIN, *CAPITALS, *known})
 
 
 def restored(spark: SparkSession, df: DataFrame, key: str = "id", columns: tuple[str, ...] = ("texto", "arquivo")) -> DataFrame:

@@ -1,3 +1,6 @@
+from collections import Counter
+
+import pyarrow as pa
 import pytest
 
 from acervo.llm import lookalike, mojibake
@@ -129,6 +132,31 @@ def test_the_sample_takes_equal_values_once(spark):
     assert mojibake.fit(df.repartition(1), ["texto", "arquivo"]).raw == mojibake.fit(df.repartition(9), ["texto", "arquivo"]).raw
 
 
+def test_the_dictionaries_learn_from_every_value(spark):
+    # the texts that hold the words are the last by hash, behind thousands of others: no choice of values by hash sees them
+    other = spark.range(20_000).selectExpr("concat('nota fiscal ', id, ' do setor') AS v").where("xxhash64(v) < 0")
+    own = spark.range(8_000).selectExpr("concat('rede elétrica do prédio ', id) AS v").where("xxhash64(v) > 0")
+    assert other.count() > 8_000 and own.count() > 3_000
+    df = other.union(own).selectExpr("v AS texto", "CAST(NULL AS string) AS arquivo")
+    model = mojibake.fit(df, ["texto", "arquivo"])
+    assert any("elétrica do".encode() in raw for raw in model.raw)
+    assert model.restore("a rede elÚtrica do prÚdio 9")[0] == "a rede elétrica do prédio 9"
+
+
+def test_counts_of_pairs_equal_brute_force(monkeypatch):
+    values = ["a conta 12 de luz", "a conta 77 de luz", None, "", " ", "só", "conta de the of and", "á" * 50, "Â£ spoilt", "µ e µ"] * 3
+    want = Counter({("valor", b""): 27, ("sinal", "µ".encode()): 3, ("pt", b"a conta"): 6, ("pt", b"conta 00"): 6, ("pt", b"00 de"): 6, ("pt", b"de luz"): 6})
+    want += Counter({("pt", "só".encode()): 3, ("pt", ("á" * 20).encode() + b" " + ("á" * 20).encode()): 3, ("pt", ("á" * 20).encode() + b" " + ("á" * 10).encode()): 3})
+    want += Counter({("pt", "µ e".encode()): 3, ("pt", "e µ".encode()): 3, ("en", b"conta de"): 3, ("en", b"de the"): 3, ("en", b"the of"): 3, ("en", b"of and"): 3})
+    for held, size in ((1, 4), (200_000, 4), (3, 100)):
+        monkeypatch.setattr(mojibake, "HELD", held)
+        got = Counter()
+        for part in mojibake.counted(pa.table({"texto": pa.array(values, pa.string())}).to_batches(size)):
+            for tipo, item, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                got[tipo, item] += n
+        assert got == want
+
+
 def test_mojibake_empty(spark, garbled):
     assert mojibake.found(spark, garbled.where("false")).collect() == []
     assert mojibake.found(spark, garbled.where("texto IS NULL")).collect() == []
