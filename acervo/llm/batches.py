@@ -24,6 +24,7 @@ be accepted; an empty batch changes nothing; ids are unique; other columns are i
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from acervo.plans.workspace import Workspace
 
-from .neardup import Numbers, buckets, common_kmers, consistent, folded, verify, words_in
+from .neardup import buckets, common_kmers, consistent, folded, verify, words_in
 
 COVERAGE, REST, LEAST_WORDS = 0.4, 0.25, 5
 #: Sketches of a text, of problem 6's first and second kind.
@@ -48,42 +49,53 @@ HOT = 64
 #: Kinds of keys.
 FILE, TEXT, PARAGRAPH, SKETCH = range(4)
 
-_PARAGRAPH = re.compile(r"[.;:!?…]+(?:\s|$)|\n\s*\n")
+#: Marks before a blank or the end, or an empty line. All begin in one class, so the search passes quickly over the rest.
+_PARAGRAPH = re.compile(r"[.;:!?…\n](?:(?<!\n)[.;:!?…]*(?:\s|$)|(?<=\n)\s*\n)")
 #: Where a field that ends in a number is followed by a sentence without a mark between them.
-_FIELD = re.compile(r"(\d)\s+(?=[A-ZÀ-Ý])")
+_FIELD = re.compile(r"\s(?<=\d\s)\s*(?=[A-ZÀ-Ý])")
 _NEXT, _PART = chr(0x1D), chr(0x1E)
-_NONE = np.zeros(0, np.int32)
+#: Bytes of a word's number.
+_WIDE = 4
 
 
-def paragraphs(text: str, number: Numbers) -> tuple[np.ndarray, list[int], list[int]]:
+class Stretches(dict):
+    """A stretch of consistent text without blanks to the numbers of its words, as bytes, remembered if it is short."""
+
+    def __missing__(self, stretch: str) -> bytes:
+        numbers = [xxhash.xxh32_intdigest(w) ^ (1 << 31) for w in words_in(folded(stretch))]  # as of neardup.Numbers
+        raw = b"".join([n.to_bytes(_WIDE, sys.byteorder) for n in numbers])
+        if len(stretch) <= 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[stretch] = raw
+        return raw
+
+
+def paragraphs(text: str, known: Stretches) -> tuple[bytes, list[int], list[int]]:
     """Numbers of all words; hashes and sizes of the sentences and of their parts, of ``LEAST_WORDS`` words or more.
 
     Where these hold less than half of the words, as in forms, the shorter ones count too, and the whole text.
     """
-    text = _FIELD.sub(rf"\1{_PART}", _PARAGRAPH.sub(_NEXT, consistent(text)))
-    text = folded(text)
-    ends, words = [], []
-    for sentence in text.split(_NEXT):
-        inner = []
-        for part in sentence.split(_PART):
-            inner.append(len(words))
-            words += [number[w] for w in words_in(part)]
-        ends.append((len(words), inner[1:]))
-    own = np.array(words, np.int32)
-    raw = own.tobytes()
+    text = _FIELD.sub(_PART, _PARAGRAPH.sub(_NEXT, consistent(text)))
+    numbers, digest = known.__getitem__, xxhash.xxh3_64_intdigest
+    sentences, covered = [], 0
     units: dict[int, int] = {}
     short: dict[int, int] = {}
-    start = covered = 0
-    for end, inner in ends:
-        if end - start >= LEAST_WORDS:
-            covered += end - start
-        cuts = [start, *inner, end]
-        for a, b in [(start, end), *zip(cuts, cuts[1:], strict=False)] if inner else [(start, end)]:
-            if b > a:
-                (units if b - a >= LEAST_WORDS else short)[xxhash.xxh3_64_intdigest(raw[4 * a : 4 * b]) - (1 << 63)] = b - a
-        start = end
+    for sentence in text.split(_NEXT):
+        if _PART in sentence:
+            parts = [b"".join(map(numbers, part.split())) for part in sentence.split(_PART)]
+            parts.insert(0, whole := b"".join(parts))
+        else:
+            parts = [whole := b"".join(map(numbers, sentence.split()))]
+        sentences.append(whole)
+        if len(whole) >= _WIDE * LEAST_WORDS:
+            covered += len(whole)
+        for raw in parts:
+            if raw:
+                (units if len(raw) >= _WIDE * LEAST_WORDS else short)[digest(raw) - (1 << 63)] = len(raw) // _WIDE
+    own = b"".join(sentences)
     if 2 * covered < len(own):
-        units |= short | {xxhash.xxh3_64_intdigest(raw) - (1 << 63): len(own)}
+        units |= short | {digest(own) - (1 << 63): len(own) // _WIDE}
     return own, list(units), list(units.values())
 
 
@@ -92,15 +104,23 @@ def features(df: DataFrame, key: str, digest: str, text: str, batch: str | None
     lot = F.lit(0) if batch is None else F.col(batch).cast("int")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = Numbers()
+        known = Stretches()
         for part in batches:
-            out = [paragraphs(t, number) if t and not t.isspace() else (_NONE, [], []) for t in part.column(2).to_pylist()]
-            raw = [w.tobytes() if len(w) > 2 else None for w, _, _ in out]
+            raw, units, sizes, ends = [], [], [], [0]  # units lie one after the other up to ends
+            for text in part.column(2).to_pylist():
+                own, u, n = paragraphs(text, known) if text and not text.isspace() else (b"", [], [])
+                if len(own) > 2 * _WIDE:
+                    raw.append(own)
+                    units += u
+                    sizes += n
+                else:
+                    raw.append(None)
+                ends.append(len(units))
             marks = [xxhash.xxh3_128_hexdigest(x) if x else None for x in raw]
+            ends = pa.array(ends, pa.int32())
             yield pa.RecordBatch.from_arrays([
                 part.column(0), part.column(1), pa.array(marks, pa.string()), pa.array(raw, pa.binary()),
-                pa.array([u if m else [] for (_, u, _), m in zip(out, marks, strict=True)], pa.list_(pa.int64())),
-                pa.array([s if m else [] for (_, _, s), m in zip(out, marks, strict=True)], pa.list_(pa.int32())),
+                pa.ListArray.from_arrays(ends, pa.array(units, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(sizes, pa.int32())),
                 part.column(3),
             ], names=["id", "hash", "marca", "palavras", "paragrafos", "tamanhos", "lote"])
 

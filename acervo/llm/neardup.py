@@ -31,6 +31,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,18 +58,24 @@ PART = 1_000
 #: Bits of a parity bitmap.
 LEAST_BITS, MOST_BITS = 128, 1 << 15
 
-_ODD, _CHUNK = re.compile(ODD), re.compile(r"\S+")
+_ODD, _BLANKS = re.compile(ODD), re.compile(r"(\s+)")
 _MARKS = re.compile("[" + chr(0x300) + "-" + chr(0x36F) + "]")
 _WORD, _LATIN_WORD = re.compile(r"[^\W_]+"), re.compile("[a-z0-9]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _TOP = np.uint64(1 << 63)
 
 
+#: Odd stretches come again.
+_form = lru_cache(1 << 15)(mapped_form)
+
+
 def consistent(text: str) -> str:
     """The text in the consistent form of problem 1."""
     if text.isascii() or not _ODD.search(text):
         return text
-    return _CHUNK.sub(lambda m: mapped_form(m[0]) if _ODD.search(m[0]) else m[0], text)
+    pieces = _BLANKS.split(text)  # every second one is blanks
+    pieces[::2] = [c if c.isascii() or not _ODD.search(c) else _form(c) for c in pieces[::2]]
+    return "".join(pieces)
 
 
 def words_of(text: str) -> list[str]:
@@ -125,33 +132,54 @@ def kmers_of(words: np.ndarray, ends: np.ndarray, k: int = K) -> tuple[np.ndarra
 def labelled(own: np.ndarray, text: np.ndarray) -> np.ndarray:
     """K-mers with the number of their occurrence in their text."""
     key = own ^ mix(text.astype(np.uint64) * _M3)
-    order = np.argsort(key, kind="stable")
+    s = np.sort(key)
+    twice = np.unique(s[1:][s[1:] == s[:-1]])
+    out = own.copy()
+    if not len(twice):
+        return out
+    several = np.flatnonzero(Members(twice)(key))  # only these are put in order with their places
+    order = several[np.argsort(key[several], kind="stable")]
     s = key[order]
     at = np.arange(len(s))
-    first = np.concatenate([np.ones(min(1, len(s)), bool), s[1:] != s[:-1]])
+    first = np.concatenate([[True], s[1:] != s[:-1]])
     count = at - np.maximum.accumulate(np.where(first, at, 0))
-    out = own.copy()
     again = count > 0
     out[order[again]] = mix(own[order[again]] + count[again].astype(np.uint64) * _M3)
     return out
 
 
+class Members:
+    """Which of many hashes are among some sorted ones: these are found by their first bits, not by bisection."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = len(hashes).bit_length() + 2
+        self.shift = np.uint64(64 - bits)
+        size = np.bincount((hashes >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.starts = (np.cumsum(size) - size).astype(np.int32)
+        self.most = int(size.max())
+        self.hashes = np.concatenate([hashes, np.repeat(hashes[-1:], self.most)])
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        at = self.starts[x >> self.shift]
+        out = np.zeros(len(x), bool)
+        for i in range(self.most):
+            out |= self.hashes[at + i] == x
+        return out
+
+
 _SEEDS, _WHOLE_SEEDS = np.split(mix(np.arange(1, SKETCHES + WHOLE + 1, dtype=np.uint64) * _M3), [SKETCHES])
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def sketches(words: np.ndarray, ends: np.ndarray, common: np.ndarray, rare: int = SKETCHES, whole: int = WHOLE) -> tuple[np.ndarray, np.ndarray]:
+def sketches(words: np.ndarray, ends: np.ndarray, common: np.ndarray | Members, rare: int = SKETCHES, whole: int = WHOLE) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of many texts, one a sketch, and the text of each; texts without k-mers have none.
 
-    The first ``rare`` pass over the k-mers of ``common``; ``whole`` others take a ``THIN``-th of them.
+    The first ``rare`` pass over the k-mers of ``common`` (sorted); ``whole`` others take a ``THIN``-th of them.
     """
     own, text = kmers_of(words, ends)
     if not len(own):
         return own, text
-    late = np.zeros(len(own), bool)
-    if len(common):
-        at = np.searchsorted(common, own)
-        late = common[np.minimum(at, len(common) - 1)] == own
+    late = (common if isinstance(common, Members) else Members(common))(own)
     thin = late & (mix(own ^ _M2) % np.uint64(THIN) > 0)
     own = labelled(own, text)
     parts = [drawn(own, text, late, _SEEDS[:rare], TAKE)]
@@ -366,11 +394,12 @@ def buckets(spark: SparkSession, words: DataFrame, common: np.ndarray, rare: int
     shared, kind = spark.sparkContext.broadcast(common), words.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Members(shared.value)
         for rows in batches:
             for at in range(0, rows.num_rows, 2_000):
                 part = rows.slice(at, 2_000)
                 lists = word_numbers(part.column(1))
-                own, text = sketches(np.concatenate(lists), np.cumsum([len(x) for x in lists]), shared.value, rare, whole)
+                own, text = sketches(np.concatenate(lists), np.cumsum([len(x) for x in lists]), known, rare, whole)
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), part.column(0).take(pa.array(text))], names=["balde", "id"])
 
     return words.select("id", "palavras").mapInArrow(run, f"balde long, id {kind}")

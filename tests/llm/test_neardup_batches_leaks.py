@@ -1,8 +1,10 @@
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from acervo.llm import batches, leaks, neardup
@@ -298,3 +300,51 @@ def test_recall_of_the_sketches_alone(spark):
     sets = _sets(enumerate(rows))
     like = [(a, b) for a, b in pairs if _like(sets[a], sets[b])]
     assert len(like) > 900 and sum(bool(own[a] & own[b]) for a, b in like) >= 0.998 * len(like)
+
+
+def _paragraphs(text):
+    """By the definition, over the whole text: the numbers of its words, and its units with their sizes."""
+    text = re.sub(r"[.;:!?…]+(?:\s|$)|\n\s*\n", chr(0x1D), neardup.consistent(text))
+    text = neardup.folded(re.sub(r"(\d)\s+(?=[A-ZÀ-Ý])", r"\1" + chr(0x1E), text))
+    number, own, units, short, covered = neardup.Numbers(), [], {}, {}, 0
+    for sentence in text.split(chr(0x1D)):
+        parts = [[number[w] for w in neardup.words_in(part)] for part in sentence.split(chr(0x1E))]
+        whole = [n for part in parts for n in part]
+        own += whole
+        covered += len(whole) if len(whole) >= batches.LEAST_WORDS else 0
+        for x in filter(None, [whole, *parts]):
+            (units if len(x) >= batches.LEAST_WORDS else short)[np.array(x, np.int32).tobytes()] = len(x)
+    raw = np.array(own, np.int32).tobytes()
+    units |= short | {raw: len(own)} if 2 * covered < len(own) else {}
+    return raw, {xxhash.xxh3_64_intdigest(x) - (1 << 63): n for x, n in units.items()}
+
+
+def test_paragraphs_fold_a_stretch_once(monkeypatch):
+    rng, folded, folds = random.Random(15), batches.folded, Counter()
+    signs = "aZ9É. ;!?…\n\t2 İßς_-º½" + "".join(map(chr, (0xA0, 0x200B, 0x430, 0x301, 0xFF01, 0xFF21, 0x2003, 0x1D, 0x1E, 0x85, 0xFFE3, 0x660, 0x1D400, 0x3000, 0xFB01)))
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(3_000)] + [_text(rng, 200) for _ in range(50)]
+    texts += ["Nota 12. Valor 3\n\nTotal 4 . Fim", "", " ", "x" * 100_000 + " fim de um texto com mais de cinco palavras."]
+    want = [_paragraphs(t) for t in texts]
+    monkeypatch.setattr(batches, "folded", lambda t: (folds.update([t]), folded(t))[1])
+    known = batches.Stretches()
+    for _ in range(2):
+        assert [(raw, dict(zip(u, n, strict=True))) for raw, u, n in (batches.paragraphs(t, known) for t in texts)] == want
+    assert max(n for t, n in folds.items() if len(t) <= 64) == 1 and len(max(known, key=len)) <= 64
+
+
+def test_members_and_labels():
+    rng = random.Random(16)
+    hashes = neardup.mix(np.arange(1, 4_000, dtype=np.uint64) * neardup._M3)
+    for n in (0, 1, 2, 700):
+        some = np.sort(np.concatenate([hashes[:n], np.array([0, 2**64 - 1], np.uint64)[: n // 2]]))
+        assert (neardup.Members(some)(hashes) == np.isin(hashes, some)).all() and neardup.Members(some)(some).all()
+    for most in (40, 10**9):
+        text = np.sort([rng.randrange(20) for _ in range(600)])
+        own = neardup.mix(np.array([rng.randrange(most) for _ in text], np.uint64))
+        seen, want = Counter(), []
+        for k, t in zip(own, text.tolist(), strict=True):
+            n = seen[k, t]
+            seen[k, t] += 1
+            want.append(neardup.mix(np.array([k]) + np.array([n], np.uint64) * neardup._M3)[0] if n else k)
+        assert neardup.labelled(own, text).tolist() == [int(x) for x in want]
+    assert len(neardup.labelled(own[:0], text[:0])) == 0
